@@ -43,9 +43,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     left = F.sum("source_size").over(whole) * share - F.coalesce(F.sum("top").over(before), F.lit(0.0))
     weights_left = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     out = out.withColumn("level", left / weights_left)
-    # the level is right where the source at hand is the first that does not stop
+    # the level is right where the source at hand is the first that does not stop; later ones give lower levels
     fits = F.when(F.col("level") <= F.col("top") / F.col("weight"), F.col("level"))
-    out = out.withColumn("level", F.min(fits).over(whole))
+    out = out.withColumn("level", F.max(fits).over(whole))
     target = F.when(F.col("level").isNull(), F.col("top")).otherwise(F.least(F.col("level") * F.col("weight"), F.col("top")))
     return out.select("source", "source_size", target.alias("target"))
 
@@ -130,7 +130,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, list_extract([5.0,2.0,1.0]::DOUBLE[], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS weight, 2.0::DOUBLE * source_size AS top FROM s),
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(top) OVER (ORDER BY top / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY top / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
-t AS (SELECT source, source_size, top, weight, min(CASE WHEN level <= top / weight THEN level END) OVER () AS level FROM l),
+t AS (SELECT source, source_size, top, weight, max(CASE WHEN level <= top / weight THEN level END) OVER () AS level FROM l),
 g AS (SELECT source, source_size, CASE WHEN level IS NULL THEN top ELSE least(level * weight, top) END AS target FROM t),
 f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS full_ FROM g),
 b AS (SELECT source, h, sum(size) AS sum_ FROM d GROUP BY source, h),
