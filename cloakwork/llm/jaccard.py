@@ -45,22 +45,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+class _Hashes(dict):
+    """Hashes of words, made at the first look-up."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBER:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Sets of 64-bit shingle hashes of texts. Words are split at ASCII white space; A-Z are lower-cased."""
 
     def __init__(self):
-        self.memo: dict[bytes, int] = {}
+        self.hashes = _Hashes()
 
     def words(self, text: str) -> np.ndarray:
-        memo, out = self.memo, []
-        for w in text.encode("utf-8", "replace").lower().split():
-            h = memo.get(w)
-            if h is None:
-                if len(memo) >= REMEMBER:
-                    memo.clear()
-                h = memo[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+        words = text.encode("utf-8", "replace").lower().split()
+        return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
 
     def set(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes; with fewer words than ``WIDTH``, one of the whole sequence; without words, none."""
@@ -200,22 +203,32 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         yield ids, texts
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of 1024 hash classes whether the set has an odd number of its elements, as 16 longs.
+
+    Each class in which two sets differ takes a different element, so the
+    number of such classes is a lower bound of the sets' difference.
+    """
+    return np.packbits(np.bincount(s >> _U(54), minlength=1024) & 1).view(np.int64)
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, f1, f2``: the set's size and a 128-bit sum over it, from columns doc_id and text."""
+    """``doc_id, n, f1, f2, odd``: the set's size, a 128-bit sum over it and its parities, from columns doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for ids, texts in _chunks(batches):
-            n, f = [], []
+            n, f, odd = [], [], []
             for t in texts:
                 s = shingler.set(t)
                 n.append(len(s))
+                odd.append(parities(s))
                 with np.errstate(over="ignore"):
                     f.append((int(s.sum(dtype=np.uint64)), int(mix(s + _C[2]).sum(dtype=np.uint64))))
             x = np.array(f, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "n", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "n", "f1", "f2", "odd"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, odd array<long>")
 
 
 def signatures(docs: DataFrame, buckets: int) -> DataFrame:
@@ -292,6 +305,17 @@ def _match(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"kind": np.concatenate([np.full(len(x), k, np.int32) for x, _, k in parts]), "a": np.concatenate([x for x, _, _ in parts]), "b": np.concatenate([y for _, y, _ in parts]).astype(np.int64)})
 
 
+def possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs that sizes and parities do not rule out."""
+    known = facts.filter("doc_id IS NOT NULL").select("doc_id", "n", "odd").distinct()
+    l, r = (known.select(*[F.col(c).alias(f"{c}{k}") for c in known.columns]) for k in (1, 2))  # noqa: E741
+    differ = F.aggregate(F.zip_with("odd1", "odd2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    close = (F.col("n1") * NUM <= F.col("n2") * DEN) & (F.col("n2") * NUM <= F.col("n1") * DEN)
+    close &= differ * (DEN + NUM) <= (F.col("n1") + F.col("n2")) * (DEN - NUM)
+    out = pairs.join(r, F.col("b") == F.col("doc_id2")).join(l, F.col("a") == F.col("doc_id1"))
+    return out.filter(close).select("a", "b").distinct()
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
@@ -299,11 +323,11 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
-        recent: dict[int, np.ndarray] = {}
+        recent: dict[tuple, np.ndarray] = {}
 
-        def get(i: int, t: str) -> np.ndarray:
+        def get(i: tuple, t: str) -> np.ndarray:
             s = recent.get(i)
-            if s is None or len(s) < 0:
+            if s is None:
                 if len(recent) >= 64:
                     recent.clear()
                 s = recent[i] = shingler.set(t)
@@ -325,7 +349,7 @@ def _fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(docs.join(ids.distinct(), "doc_id", "left_semi"))
 
 
-def residual(candidates: DataFrame, docs: DataFrame, labels: DataFrame, rep) -> DataFrame | None:
+def residual(candidates: DataFrame, docs: DataFrame, facts: DataFrame, labels: DataFrame, rep) -> DataFrame | None:
     """Pairs that only long lists could have shown, or None.
 
     Sets of one component need no more links. A pair of two components that
@@ -376,7 +400,7 @@ def residual(candidates: DataFrame, docs: DataFrame, labels: DataFrame, rep) ->
     close = (F.col("doc_id1") < F.col("doc_id2")) & (F.col("c1") != F.col("c2")) & (F.col("open1") | F.col("open2"))
     close &= (F.col("n1") * NUM <= F.col("n2") * DEN) & (F.col("n2") * NUM <= F.col("n1") * DEN)
     pairs = l.join(r, "h").filter(close).select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct()
-    return verify(materialize(pairs), texts)
+    return verify(materialize(possible(pairs, facts)), texts)
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -406,11 +430,11 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     signed = signatures(base.filter(F.col("doc_id").isNotNull()), buckets)
     candidates = materialize(signed.groupBy("bucket").applyInPandas(_match, "kind int, a long, b long"))
-    pairs = materialize(rep(candidates.filter("kind <= 1").select("a", "b")))
+    pairs = materialize(possible(rep(candidates.filter("kind <= 1").select("a", "b")), facts))
     texts = _fetch(base, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     links = materialize(verify(pairs, texts))
     labels = components(links)
-    more = residual(candidates, base, labels, rep)
+    more = residual(candidates, base, facts, labels, rep)
     if more is not None:
         more = materialize(more)
         if more.limit(1).count():
