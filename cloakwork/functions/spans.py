@@ -11,6 +11,11 @@ LOOK_BACK = 80
 Check = Callable[[Column, Column], Column]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: within a lambda a plain expression is computed at each use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def find_all(text: Column, regex: str, check: Check | None = None) -> Column:
     """array<struct<start,end>> of leftmost non-overlapping matches, code points, end exclusive.
 
@@ -38,10 +43,13 @@ def find_all(text: Column, regex: str, check: Check | None = None) -> Column:
 def resolve(candidates: Column, fields: Sequence[str]) -> Column:
     """Greedy choice without overlaps: longest first, then smaller start, then smaller ``ord``; result by start."""
     key = lambda c: F.struct((c["start"] - c["end"]).alias("_n"), c["start"].alias("start"), c["ord"].alias("ord"), *[c[f].alias(f) for f in fields if f not in ("start", "ord")])
-    ordered = F.array_sort(F.transform(candidates, key))
-    empty = F.filter(ordered, lambda _: F.lit(False))
     clash = lambda c: lambda o: (c["start"] < o["end"]) & (c["end"] > o["start"])
-    chosen = F.aggregate(ordered, empty, lambda acc, c: F.when(F.exists(acc, clash(c)), acc).otherwise(F.array_append(acc, c)))
+
+    def choose(ordered: Column) -> Column:
+        empty = F.filter(ordered, lambda _: F.lit(False))
+        return F.aggregate(ordered, empty, lambda acc, c: F.when(F.exists(acc, clash(c)), acc).otherwise(F.array_append(acc, c)))
+
+    chosen = let(F.array_sort(F.transform(candidates, key)), choose)
     return F.array_sort(F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), *[c[f].alias(f) for f in fields if f != "start"])))
 
 

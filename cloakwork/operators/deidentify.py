@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import find_all, resolve, splice
+from ..functions.spans import find_all, let, resolve, splice
 from .rules import BUILTIN, Rule
 
 MARKER = r"\[([^\[\]:]{1,10}):([0-9a-f]{6})\]"
 CODES = 1 << 24
 ITEM = "array<struct<start:int,ord:int,end:int,category:string>>"
 
+ITEMS = "array<struct<start:int,end:int,category:string,original:string,code:string,origin:string,active:boolean>>"
+
 
 def candidates(text: Column, rules: Sequence[Rule]) -> Column:
     """All rules' matches in rule order, in one projection, so the text is scanned once a rule and read once."""
@@ -49,18 +51,23 @@ def detect(docs: DataFrame, rules: Sequence[Rule] = BUILTIN, key: str = "change-
     Equal (category, original) in a document share a code. Null text has no
     items. Nothing is shuffled.
     """
-    chosen = docs.withColumn("_c", resolve(candidates(F.col(text), rules), ("start", "ord", "end", "category")))
-    named = F.transform("_c", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["category"].alias("category"), F.substring(F.col(text), c["start"] + 1, c["end"] - c["start"]).alias("original")))
-    named_df = chosen.withColumn("_n", named).withColumn("_k", F.array_distinct(F.transform("_n", lambda x: F.concat_ws(":", x["category"], x["original"]))))
-    items = F.transform(
-        "_n",
-        lambda x: F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), x["category"].alias("category"), x["original"].alias("original"),
-            code_of(F.array_position(F.col("_k"), F.concat_ws(":", x["category"], x["original"])) - 1, F.col(doc), key).alias("code"),
-            F.lit("auto").alias("origin"), F.lit(True).alias("active"),
-        ),
-    )
-    return named_df.withColumn("items", items).drop("_c", "_n", "_k")
+    body = F.col(text)
+
+    def named(c: Column) -> Column:
+        original = F.substring(body, c["start"] + 1, c["end"] - c["start"])
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["category"].alias("category"), original.alias("original"))
+
+    value = lambda x: F.concat_ws(":", x["category"], x["original"])
+
+    def coded(found: Column) -> Column:
+        def item(x: Column, values: Column) -> Column:
+            code = code_of(F.array_position(values, value(x)) - 1, F.col(doc), key)
+            return F.struct(*[x[c].alias(c) for c in ("start", "end", "category", "original")], code.alias("code"), F.lit("auto").alias("origin"), F.lit(True).alias("active"))
+
+        return let(F.array_distinct(F.transform(found, value)), lambda values: F.transform(found, lambda x: item(x, values)))
+
+    chosen = resolve(candidates(body, rules), ("start", "ord", "end", "category"))
+    return docs.withColumn("items", F.coalesce(let(F.transform(chosen, named), coded), F.array().cast(ITEMS)))
 
 
 def redact(items_df: DataFrame, text: str = "text") -> DataFrame:

@@ -44,12 +44,12 @@ def email_spans(spark, sf_dir: str) -> DataFrame:
 
 def detect_items(spark, sf_dir: str) -> DataFrame:
     out = detect(_orders_texts(spark, sf_dir), ORDERS_RULES)
-    return out.select("doc_id", F.explode("items").alias("x")).select("doc_id", "x.category", "x.original", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    return out.select("doc_id", F.explode_outer("items").alias("x")).filter("x IS NOT NULL").select("doc_id", "x.category", "x.original", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
 
 def redact_masks(spark, sf_dir: str) -> DataFrame:
     out = detect(_orders_texts(spark, sf_dir), ORDERS_RULES)
-    return out.select("doc_id", F.explode("items").alias("x")).select("doc_id", F.col("x.category").alias("category"), mask(F.col("x.category"), F.col("x.original")).alias("masked"))
+    return out.select("doc_id", F.explode_outer("items").alias("x")).filter("x IS NOT NULL").select("doc_id", F.col("x.category").alias("category"), mask(F.col("x.category"), F.col("x.original")).alias("masked"))
 
 
 def round_trip(spark, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ def oracle_sql() -> dict[str, str]:
             WHEN '日期' THEN substr(original,1,4)||'-**-**' WHEN '電子郵件' THEN substr(original,1,2)||'***@example.com' ELSE substr(original,1,3)||repeat('*',length(original)-3) END AS masked FROM i""",
         "round_trip": r"SELECT doc_id, true AS same, len(regexp_extract_all(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))::INT AS restored_count, 0::INT AS n_missing FROM documents",
         "item_counts": f"{c} SELECT category, count(*)::BIGINT AS total, count(*)::BIGINT AS active FROM i GROUP BY category",
-        "mapping_files": "SELECT c_custkey, chr(65279)||'code,category,original'||chr(13)||chr(10)||lpad(to_hex(c_custkey),6,'0')||',公司,\"'||c_name||', \"\"'||c_mktsegment||'\"\"\"'||chr(13)||chr(10) AS csv FROM customer",
+        "mapping_files": "SELECT c_custkey, chr(65279)||'code,category,original'||chr(13)||chr(10)||lower(lpad(to_hex(c_custkey),6,'0'))||',公司,\"'||c_name||', \"\"'||c_mktsegment||'\"\"\"'||chr(13)||chr(10) AS csv FROM customer",
         "national_ids": f"WITH t AS (SELECT c_custkey, {id_} AS id FROM customer) SELECT c_custkey, id, ({total})%10=0 AS valid FROM t",
         "tax_ids": f"WITH t AS (SELECT c_custkey, lpad((c_custkey*7919%100000000)::VARCHAR,8,'0') AS id FROM customer) SELECT c_custkey, id, (({tax})%5=0 OR (substr(id,7,1)='7' AND ({tax}+1)%5=0)) AS valid FROM t",
         "document_codes": "SELECT c_custkey%7 AS doc_id, count(*)::BIGINT AS n_codes, 0::BIGINT AS n_bad FROM customer GROUP BY 1",
