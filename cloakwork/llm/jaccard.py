@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -357,7 +357,7 @@ def residual(candidates: DataFrame, docs: DataFrame, facts: DataFrame, labels: D
     with sets of both; such sets are joined by a prefix filter, rarest
     shingle first, if one of the two relied on its long lists.
     """
-    stars = rep(candidates.filter("kind = 1").select("a", "b"))
+    stars = materialize(rep(candidates.filter("kind = 1").select("a", "b")))
     named = stars.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
     named = named.select("a", "b", (F.coalesce("x", "a") != F.coalesce("y", "b")).alias("apart"))
     mixed = named.filter("apart").select(F.explode(F.array("a", "b")).alias("p")).distinct()
@@ -371,7 +371,7 @@ def residual(candidates: DataFrame, docs: DataFrame, facts: DataFrame, labels: D
     texts = _fetch(docs, who)
     rows = texts.join(lost, "doc_id", "left").select("doc_id", "text", F.coalesce("l2", F.lit(0)).alias("l2"), F.coalesce("l3", F.lit(0)).alias("l3"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def openness(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, signer = Shingler(), Signer()
         for f in frames:
             for i in range(0, len(f), 256):
@@ -382,14 +382,28 @@ def residual(candidates: DataFrame, docs: DataFrame, facts: DataFrame, labels: D
                     _, _, has, must = signer.sign(sets, lower)
                     # a lost signature may have been worth two
                     open_ |= has - 2 * part[column].to_numpy() < must
-                n = [len(s) for s in sets]
-                yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), n), "n": np.repeat(n, n), "open": np.repeat(open_, n), "h": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "open": open_})
 
-    shingles = materialize(rows.mapInPandas(run, "doc_id long, n long, open boolean, h long"))
+    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler()
+        for f in frames:
+            for i in range(0, len(f), 256):
+                part = f.iloc[i : i + 256]
+                sets = [shingler.set(t) for t in part["text"]]
+                n = [len(s) for s in sets]
+                yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), n), "n": np.repeat(n, n), "open": np.repeat(part["open"].to_numpy(), n), "h": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)})
+
+    states = materialize(rows.mapInPandas(openness, "doc_id long, open boolean"))
+    relying = states.filter("open").select(F.col("doc_id").alias("o")).distinct()
+    # the first sets of the lists that such a set relied on, and all sets of those lists
+    firsts = stars.join(relying, F.col("a") == F.col("o"), "left_semi").unionByName(stars.join(relying, F.col("b") == F.col("o"), "left_semi"))
+    firsts = materialize(firsts.select(F.explode(F.array("a", "b")).alias("p")).distinct())
+    near = stars.join(firsts, F.col("a") == F.col("p"), "left_semi").unionByName(stars.join(firsts, F.col("b") == F.col("p"), "left_semi"))
+    near = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    chosen = texts.join(near, "doc_id", "left_semi").join(states.distinct(), "doc_id")
+    shingles = materialize(chosen.mapInPandas(explode, "doc_id long, n long, open boolean, h long"))
     often = materialize(shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     ranked = shingles.join(often, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "h"))
     prefix = ranked.withColumn("place", place).filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1) & (F.col("df") > 1))
     prefix = prefix.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n", "open", "h", F.coalesce("component", "doc_id").alias("c"))
