@@ -9,9 +9,11 @@ from ..functions.checksums import LETTERS, valid_national_id, valid_tax_id
 from ..functions.masks import mask
 from ..functions.spans import find_all
 from ..operators.deidentify import code_of, detect, mapping_rows, redact, restore
+from ..operators.manual import add_manual, redetect
 from ..operators.review import category_counts
 from ..operators.rules import BUILTIN
-from ..sources.mapping_csv import csv_text
+from ..sources.files import mapping_name, with_suffix
+from ..sources.mapping_csv import csv_text, manifest_text
 
 EMAIL = tuple(r for r in BUILTIN if r.id == "email")
 
@@ -90,8 +92,24 @@ def document_codes(spark, sf_dir: str) -> DataFrame:
     return codes.groupBy("doc_id").agg(F.count_distinct("code").alias("n_codes"), F.count_if(~F.col("code").rlike(r"\A[0-9a-f]{6}\z")).alias("n_bad"))
 
 
+def manual_items(spark, sf_dir: str) -> DataFrame:
+    """Two spans added by hand to each order's text: the first two characters, and one that overlaps them."""
+    docs = detect(_orders_texts(spark, sf_dir), ORDERS_RULES)
+    span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit("姓名").alias("category"))
+    out = redetect(add_manual(docs.withColumn("requests", F.array(span(0, 2), span(1, 3)))), ORDERS_RULES)
+    by_hand = F.filter("items", lambda x: x["origin"] == "manual")
+    return out.select("doc_id", F.size("items").alias("n_items"), F.size(by_hand).alias("n_manual"), by_hand[0]["original"].alias("original"), F.size("refused").alias("n_refused"))
+
+
+def manifests(spark, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    name = F.concat(F.lit("a,"), F.col("c_custkey").cast("string"), F.lit(".txt"))
+    entry = F.struct(name.alias("source"), with_suffix(name, "deid").alias("output"), mapping_name(name).alias("mapping"), F.col("c_custkey").alias("count"))
+    return c.select("c_custkey", manifest_text(F.array(entry)).alias("csv"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (email_spans, detect_items, redact_masks, round_trip, item_counts, mapping_files, national_ids, tax_ids, document_codes)}
+    return {f.__name__: f for f in (email_spans, detect_items, redact_masks, round_trip, item_counts, mapping_files, national_ids, tax_ids, document_codes, manual_items, manifests)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -120,5 +138,7 @@ def oracle_sql() -> dict[str, str]:
         "mapping_files": "SELECT c_custkey, chr(65279)||'code,category,original'||chr(13)||chr(10)||lower(lpad(to_hex(c_custkey),6,'0'))||',公司,\"'||c_name||', \"\"'||c_mktsegment||'\"\"\"'||chr(13)||chr(10) AS csv FROM customer",
         "national_ids": f"WITH t AS (SELECT c_custkey, {id_} AS id FROM customer) SELECT c_custkey, id, ({total})%10=0 AS valid FROM t",
         "tax_ids": f"WITH t AS (SELECT c_custkey, lpad((c_custkey*7919%100000000)::VARCHAR,8,'0') AS id FROM customer) SELECT c_custkey, id, (({tax})%5=0 OR (substr(id,7,1)='7' AND ({tax}+1)%5=0)) AS valid FROM t",
+        "manual_items": "SELECT o_orderkey AS doc_id, 6::INT AS n_items, 1::INT AS n_manual, '還款' AS original, 1::INT AS n_refused FROM orders",
+        "manifests": "SELECT c_custkey, chr(65279)||'檔案,去識別化檔,編碼表,生效筆數'||chr(13)||chr(10)||'\"a,'||c_custkey||'.txt\",\"a,'||c_custkey||'.deid.txt\",\"a,'||c_custkey||'.mapping.csv\",'||c_custkey||chr(13)||chr(10) AS csv FROM customer",
         "document_codes": "SELECT c_custkey%7 AS doc_id, count(*)::BIGINT AS n_codes, 0::BIGINT AS n_bad FROM customer GROUP BY 1",
     }
