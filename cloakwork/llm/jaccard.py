@@ -27,8 +27,10 @@ from .storage import materialize
 WIDTH = 5
 #: The similarity as a fraction.
 NUM, DEN = 3, 4
-#: Lists of up to this many sets get all their pairs; longer ones are handled exactly in ``residual``.
-LIST = 12
+#: Lists of up to this many pairs of components a member get all of them; others are handled exactly in ``residual``.
+PER_MEMBER = 6
+#: Pairs that are made at once.
+SLICE = 2_000_000
 #: Characters that are handled at once.
 CHUNK = 3_000_000
 REMEMBER = 500_000
@@ -147,13 +149,16 @@ class Signer:
         t, q = allocation(low, middle, top)
         return g, t, q, need(size, middle)
 
-    def sign(self, sets: list[np.ndarray], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(index of set, signature), sorted by set, and by set what its segments tolerate and what they must."""
+    def sign(self, sets: list[np.ndarray], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(index of set, signature, weight), sorted by set, and by set what its segments tolerate and what they must.
+
+        The weight is what a segment tolerates less if the signature is not looked up.
+        """
         info = [self.group(len(s), lower) if len(s) else None for s in sets]
         on = [i for i, x in enumerate(info) if x]
         tolerated, wanted = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
         if not on:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), tolerated, wanted
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), tolerated, wanted
         sizes = np.array([len(sets[i]) for i in on])
         g, t, q, w = (np.array([info[i][k] for i in on]) for k in range(4))
         h = np.concatenate([sets[i] for i in on])
@@ -183,15 +188,19 @@ class Signer:
         np.add.at(tolerated, np.array(on)[d], np.where(double, 2, 1))
         wanted[on] = w
         docs, signatures = np.r_[d, part_doc] if (part_doc := doc[more]).size else d, np.r_[exact, deleted]
+        weight = np.r_[np.where(double, 2, 1), np.ones(len(deleted), np.int64)].astype(np.uint64)
         order = np.argsort(docs, kind="stable")
-        return np.array(on)[docs[order]], signatures[order], tolerated, wanted
+        return np.array(on)[docs[order]], signatures[order], weight[order], tolerated, wanted
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(ids, texts) of at most about ``CHUNK`` characters."""
+    """(ids, texts) of at most about ``CHUNK`` characters; ids come with the component where there is one."""
     ids, texts, size = [], [], 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        keys = b.column(0).to_pylist()
+        if b.num_columns > 2:
+            keys = list(zip(keys, b.column(2).to_pylist(), strict=True))
+        for i, t in zip(keys, b.column(1), strict=True):
             t = t.as_py()
             ids.append(i)
             texts.append(t)
@@ -232,7 +241,12 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed signatures by bucket. Sets that a partition has twice are signed once."""
+    """Packed signatures by bucket, from columns doc_id, text and perhaps c, the component.
+
+    With c, sets go by their ``doc_id``. Without, they go by their ``f1``, so
+    copies are one set wherever they are; a partition signs them once.
+    """
+    placed = "c" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer, seen = Shingler(), Signer(), set()
@@ -240,28 +254,31 @@ def signatures(docs: DataFrame, buckets: int) -> DataFrame:
             keep, sets = [], []
             for i, t in zip(ids, texts, strict=True):
                 s = shingler.set(t)
-                if len(s) and (mark := s.tobytes() if len(s) < 3 else xxhash.xxh3_128_digest(s.tobytes())) not in seen:
+                if not len(s):
+                    continue
+                mark = (int(s.sum(dtype=np.uint64)), len(s))
+                if placed or mark not in seen:
                     seen.add(mark)
-                    keep.append(i)
+                    keep.append(i if placed else (np.uint64(mark[0]).view(np.int64), 0))
                     sets.append(s)
-            owner = np.array(keep, dtype=np.int64)
+            owner, component = np.array(keep, dtype=np.int64).reshape(-1, 2).T
             rows: list[tuple] = []
             for lower in (False, True):
-                d, sig, _, _ = signer.sign(sets, lower)
+                d, sig, weight, _, _ = signer.sign(sets, lower)
                 bucket = ((sig >> _U(44)) % _U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                d, sig, bucket = d[order], sig[order], bucket[order]
+                d, sig, weight, bucket = d[order], sig[order], weight[order], bucket[order]
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
                 for k in np.flatnonzero(np.diff(cut)):
-                    dd, ss = d[cut[k] : cut[k + 1]], sig[cut[k] : cut[k + 1]]
+                    dd, ss, ww = d[cut[k] : cut[k + 1]], sig[cut[k] : cut[k + 1]], weight[cut[k] : cut[k + 1]]
                     at = np.flatnonzero(np.r_[True, dd[1:] != dd[:-1]])
-                    low, high = (ss & _U(0xFFFFFFFF)).astype("<u4"), ((ss >> _U(32)) & _U(0xFF)).astype("u1")
-                    rows.append((int(k), int(lower), owner[dd[at]].tobytes(), np.diff(np.r_[at, len(dd)]).astype("<u4").tobytes(), low.tobytes(), high.tobytes()))
+                    low, high = (ss & _U(0xFFFFFFFF)).astype("<u4"), ((ss >> _U(32)) & _U(0x3F) | ww << _U(6)).astype("u1")
+                    rows.append((int(k), int(lower), owner[dd[at]].tobytes(), component[dd[at]].tobytes() if placed else b"", np.diff(np.r_[at, len(dd)]).astype("<u4").tobytes(), low.tobytes(), high.tobytes()))
             if rows:
-                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "lower", "ids", "counts", "low", "high"])
+                kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "lower", "ids", "comps", "counts", "low", "high"])
 
-    return docs.mapInArrow(run, "bucket int, lower int, ids binary, counts binary, low binary, high binary")
+    return docs.mapInArrow(run, "bucket int, lower int, ids binary, comps binary, counts binary, low binary, high binary")
 
 
 def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,47 +290,79 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-def _match(group: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one bucket. kind 0: a pair. kind 1: first set and another one of a long list.
-    kinds 2 and 3: set a lost b signatures to long lists in the group that its band begins, or ends."""
-    ids = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, "<u4")) for i, c in zip(group["ids"], group["counts"], strict=True)])
-    sig = np.concatenate([np.frombuffer(lo, "<u4").astype(np.uint64) | (np.frombuffer(hi, "u1").astype(np.uint64) << _U(32)) for lo, hi in zip(group["low"], group["high"], strict=True)])
-    lower = np.repeat(group["lower"].to_numpy(), [len(hi) for hi in group["high"]])
+def _lists(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """(list, id, component, weight, lower) of the sets in lists of two or more, sorted."""
+    counts = [np.frombuffer(c, "<u4") for c in group["counts"]]
+    ids, comps = (np.concatenate([np.repeat(np.frombuffer(i, np.int64), c) if i else np.zeros(c.sum(), np.int64) for i, c in zip(group[name], counts, strict=True)]) for name in ("ids", "comps"))
+    high = np.concatenate([np.frombuffer(x, "u1") for x in group["high"]]).astype(np.uint64)
+    sig = np.concatenate([np.frombuffer(x, "<u4") for x in group["low"]]).astype(np.uint64) | (high & _U(0x3F)) << _U(32)
+    lower = np.repeat(group["lower"].to_numpy(), [len(x) for x in group["high"]])
     order = np.argsort(sig, kind="stable")
-    sig, ids, lower = sig[order], ids[order], lower[order]
-    start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    start = np.flatnonzero(np.r_[True, (x := sig[order])[1:] != x[:-1]])
     many = np.diff(np.r_[start, len(sig)])
-    run = np.repeat(np.arange(len(start)), many)
-    kept = many[run] > 1
-    ids, lower, run = ids[kept], lower[kept], run[kept]
-    order = np.lexsort((ids, run))
-    ids, lower, run = ids[order], lower[order], run[order]
-    long = many[run] > LIST
-    pa_, pb_ = [], []
-    for k in range(1, LIST):
-        same = (run[k:] == run[:-k]) & ~long[k:]
-        pa_.append(ids[:-k][same] if len(ids) > k else ids[:0])
-        pb_.append(ids[k:][same] if len(ids) > k else ids[:0])
-    a, b = unique_pairs(np.concatenate(pa_), np.concatenate(pb_))
-    head = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, np.int64)
-    pivot = np.repeat(ids[head], np.diff(np.r_[head, len(run)])) if len(run) else ids
-    sa, sb = unique_pairs(pivot[long], ids[long])
-    parts = [(a, b, 0), (sa, sb, 1)]
+    run, kept = np.repeat(np.arange(len(start)), many), np.repeat(many > 1, many)
+    order, run = order[kept], run[kept]
+    ids, comps, weight, lower = ids[order], comps[order], (high[order] >> _U(6)).astype(np.int64), lower[order]
+    order = np.lexsort((ids, comps, run))
+    run, ids, comps, weight, lower = run[order], ids[order], comps[order], weight[order], lower[order]
+    new = np.r_[True, (run[1:] != run[:-1]) | (ids[1:] != ids[:-1])][: len(run)]
+    return run[new], ids[new], comps[new], weight[new], lower[new]
+
+
+def _starts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and their lengths."""
+    start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+    return start, np.diff(np.r_[start, len(x)])
+
+
+def _stars(group: pd.DataFrame) -> pd.DataFrame:
+    """The first set of each list with each other one; kind 1 if the list has more than two."""
+    run, ids, _, _, _ = _lists(group)
+    start, many = _starts(run)
+    pivot, long = np.repeat(ids[start], many), np.repeat(many > 2, many)
+    a, b = unique_pairs(pivot[long], ids[long])
+    c, d = unique_pairs(pivot[~long], ids[~long])
+    return pd.DataFrame({"kind": np.repeat(np.array([1, 0], np.int32), [len(a), len(c)]), "a": np.r_[a, c], "b": np.r_[b, d]})
+
+
+def _across(group: pd.DataFrame) -> pd.DataFrame:
+    """What one bucket says about sets of different components. kind 0: a pair. kind 1: first set and another one of a long list.
+    kinds 2 and 3: set a lost weight b to long lists in the group that its band begins, or ends."""
+    run, ids, comps, weight, lower = _lists(group)
+    start, many = _starts(run)
+    block = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (comps[1:] != comps[:-1])][: len(run)])
+    size = np.diff(np.r_[block, len(run)])
+    # sets of later components in the same list
+    after = np.repeat(block + size, size)
+    later = np.repeat(start + many, many) - after
+    long = np.repeat((np.add.reduceat(later, start) if len(start) else many) > PER_MEMBER * many, many)
+    several = np.repeat((np.add.reduceat(later, start) if len(start) else many) > 0, many)
+    make = np.flatnonzero(~long & (later > 0))
+    total = np.cumsum(later[make])
+    pairs = [(ids[:0], ids[:0])]
+    for part in np.split(make, np.flatnonzero(np.diff(total // SLICE)) + 1):
+        n = later[part]
+        ends = np.cumsum(n)
+        right = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(after[part], n)
+        pairs.append(unique_pairs(np.repeat(ids[part], n), ids[right]))
+    a, b = unique_pairs(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+    long &= several
+    parts = [(a, b, 0), (*unique_pairs(np.repeat(ids[start], many)[long], ids[long]), 1)]
     for k in (0, 1):
-        who, n = np.unique(ids[long & (lower == k)], return_counts=True)
-        parts.append((who, n, 2 + k))
+        on = long & (lower == k)
+        who, at = np.unique(ids[on], return_inverse=True)
+        parts.append((who, np.bincount(at, weight[on], len(who)), 2 + k))
     return pd.DataFrame({"kind": np.concatenate([np.full(len(x), k, np.int32) for x, _, k in parts]), "a": np.concatenate([x for x, _, _ in parts]), "b": np.concatenate([y for _, y, _ in parts]).astype(np.int64)})
 
 
-def possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs that sizes and parities do not rule out."""
-    known = facts.filter("doc_id IS NOT NULL").select("doc_id", "n", "odd").distinct()
-    l, r = (known.select(*[F.col(c).alias(f"{c}{k}") for c in known.columns]) for k in (1, 2))  # noqa: E741
+def possible(pairs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """The pairs of smallest keys that sizes and parities do not rule out; ``pairs`` name sets by ``key`` and keep their kind."""
+    l, r = (classes.select(F.col(key).alias(x), F.col("rep").alias(f"rep{k}"), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"odd{k}")) for k, x in ((1, "a"), (2, "b")))  # noqa: E741
     differ = F.aggregate(F.zip_with("odd1", "odd2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     close = (F.col("n1") * NUM <= F.col("n2") * DEN) & (F.col("n2") * NUM <= F.col("n1") * DEN)
     close &= differ * (DEN + NUM) <= (F.col("n1") + F.col("n2")) * (DEN - NUM)
-    out = pairs.join(r, F.col("b") == F.col("doc_id2")).join(l, F.col("a") == F.col("doc_id1"))
-    return out.filter(close).select("a", "b").distinct()
+    out = pairs.join(r, "b").join(l, "a").filter("rep1 <> rep2")
+    return out.select("kind", F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"), close.alias("close"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -349,27 +398,16 @@ def _fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(docs.join(ids.distinct(), "doc_id", "left_semi"))
 
 
-def residual(candidates: DataFrame, docs: DataFrame, facts: DataFrame, labels: DataFrame, rep) -> DataFrame | None:
+def residual(candidates: DataFrame, texts: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame | None:
     """Pairs that only long lists could have shown, or None.
 
-    Sets of one component need no more links. A pair of two components that
-    is still missing shares a long list, whose first set has then been paired
-    with sets of both; such sets are joined by a prefix filter, rarest
-    shingle first, if one of the two relied on its long lists.
+    A pair is found without them unless its larger set relied on them; such
+    sets and the other ones of their lists are joined by a prefix filter,
+    rarest shingle first.
     """
-    stars = materialize(rep(candidates.filter("kind = 1").select("a", "b")))
-    named = stars.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
-    named = named.select("a", "b", (F.coalesce("x", "a") != F.coalesce("y", "b")).alias("apart"))
-    mixed = named.filter("apart").select(F.explode(F.array("a", "b")).alias("p")).distinct()
-    # either end may have been the first set, as the pairs are ordered by representative
-    touched = stars.join(mixed, F.col("a") == F.col("p"), "left_semi").unionByName(stars.join(mixed, F.col("b") == F.col("p"), "left_semi"))
-    who = materialize(touched.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    if not who.limit(1).count():
-        return None
-    lost = candidates.filter("kind >= 2").groupBy(F.col("a").alias("doc_id"), "kind").agg(F.sum("b").alias("lost"))
-    lost = lost.groupBy("doc_id").agg(F.sum(F.when(F.col("kind") == 2, F.col("lost"))).alias("l2"), F.sum(F.when(F.col("kind") == 3, F.col("lost"))).alias("l3"))
-    texts = _fetch(docs, who)
-    rows = texts.join(lost, "doc_id", "left").select("doc_id", "text", F.coalesce("l2", F.lit(0)).alias("l2"), F.coalesce("l3", F.lit(0)).alias("l3"))
+    stars = materialize(candidates.filter("kind = 1").select("a", "b").distinct())
+    lost = candidates.filter("kind >= 2").groupBy(F.col("a").alias("doc_id")).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("b"))), F.lit(0)).alias(f"l{k}") for k in (2, 3)])
+    rows = texts.join(lost, "doc_id").select("doc_id", "text", "l2", "l3")
 
     def openness(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, signer = Shingler(), Signer()
@@ -379,9 +417,9 @@ def residual(candidates: DataFrame, docs: DataFrame, facts: DataFrame, labels: D
                 sets = [shingler.set(t) for t in part["text"]]
                 open_ = np.zeros(len(sets), bool)
                 for lower, column in ((False, "l2"), (True, "l3")):
-                    _, _, has, must = signer.sign(sets, lower)
-                    # a lost signature may have been worth two
-                    open_ |= has - 2 * part[column].to_numpy() < must
+                    _, _, _, has, must = signer.sign(sets, lower)
+                    lost = part[column].to_numpy()
+                    open_ |= (lost > 0) & (has - lost < must)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "open": open_})
 
     def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -393,14 +431,16 @@ def residual(candidates: DataFrame, docs: DataFrame, facts: DataFrame, labels: D
                 n = [len(s) for s in sets]
                 yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), n), "n": np.repeat(n, n), "open": np.repeat(part["open"].to_numpy(), n), "h": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)})
 
-    states = materialize(rows.mapInPandas(openness, "doc_id long, open boolean"))
-    relying = states.filter("open").select(F.col("doc_id").alias("o")).distinct()
+    relying = materialize(rows.mapInPandas(openness, "doc_id long, open boolean").filter("open").select(F.col("doc_id").alias("o")))
+    if not relying.limit(1).count():
+        return None
+    states = relying.select(F.col("o").alias("doc_id"), F.lit(True).alias("open"))
     # the first sets of the lists that such a set relied on, and all sets of those lists
     firsts = stars.join(relying, F.col("a") == F.col("o"), "left_semi").unionByName(stars.join(relying, F.col("b") == F.col("o"), "left_semi"))
     firsts = materialize(firsts.select(F.explode(F.array("a", "b")).alias("p")).distinct())
     near = stars.join(firsts, F.col("a") == F.col("p"), "left_semi").unionByName(stars.join(firsts, F.col("b") == F.col("p"), "left_semi"))
     near = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    chosen = texts.join(near, "doc_id", "left_semi").join(states.distinct(), "doc_id")
+    chosen = texts.join(near, "doc_id", "left_semi").join(states, "doc_id", "left").select("doc_id", "text", F.coalesce("open", F.lit(False)).alias("open"))
     shingles = materialize(chosen.mapInPandas(explode, "doc_id long, n long, open boolean, h long"))
     often = materialize(shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     ranked = shingles.join(often, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
@@ -411,10 +451,10 @@ def residual(candidates: DataFrame, docs: DataFrame, facts: DataFrame, labels: D
     apart = prefix.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
     prefix = materialize(prefix.join(apart, "h", "left_semi"))
     l, r = (prefix.select("h", *[F.col(c).alias(f"{c}{k}") for c in ("doc_id", "n", "open", "c")]) for k in (1, 2))  # noqa: E741
-    close = (F.col("doc_id1") < F.col("doc_id2")) & (F.col("c1") != F.col("c2")) & (F.col("open1") | F.col("open2"))
+    close = (F.col("doc_id1") < F.col("doc_id2")) & (F.col("c1") != F.col("c2")) & F.when(F.col("n1") > F.col("n2"), F.col("open1")).when(F.col("n1") < F.col("n2"), F.col("open2")).otherwise(F.col("open1") & F.col("open2"))
     close &= (F.col("n1") * NUM <= F.col("n2") * DEN) & (F.col("n2") * NUM <= F.col("n1") * DEN)
-    pairs = l.join(r, "h").filter(close).select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct()
-    return verify(materialize(possible(pairs, facts)), texts)
+    pairs = l.join(r, "h").filter(close).select(F.lit(4).alias("kind"), F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct()
+    return verify(materialize(possible(pairs, classes, "rep").filter("close").select("a", "b")), texts)
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -433,26 +473,36 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     facts = materialize(describe(base))
     total = facts.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000 + 1)
-    classes = facts.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes.filter("copies > 1").select("n", "f1", "f2", "rep"))
-    reps = materialize(facts.join(classes, ["n", "f1", "f2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct())
-
-    def rep(pairs: DataFrame) -> DataFrame:
-        for c in ("a", "b"):
-            pairs = pairs.join(reps.select(F.col("doc_id").alias(c), F.col("rep").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
-        return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    signed = signatures(base.filter(F.col("doc_id").isNotNull()), buckets)
-    candidates = materialize(signed.groupBy("bucket").applyInPandas(_match, "kind int, a long, b long"))
-    pairs = materialize(possible(rep(candidates.filter("kind <= 1").select("a", "b")), facts))
-    texts = _fetch(base, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    links = materialize(verify(pairs, texts))
+    classes = facts.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("odd").alias("odd"))
+    classes = materialize(classes)
+    known = base.filter(F.col("doc_id").isNotNull())
+    # one set of each list with the others
+    stars = signatures(known, buckets).groupBy("bucket").applyInPandas(_stars, "kind int, a long, b long")
+    stars = possible(stars.groupBy("a", "b").agg(F.max("kind").alias("kind")), classes, "f1")
+    stars = materialize(stars.groupBy("a", "b").agg(F.max("kind").alias("kind"), F.first("close").alias("close")))
+    pairs = stars.filter("close").select("a", "b")
+    links = materialize(verify(pairs, _fetch(known, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))))
     labels = components(links)
-    more = residual(candidates, base, facts, labels, rep)
-    if more is not None:
-        more = materialize(more)
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
+    # sets of lists that still have several components
+    for c in ("a", "b"):
+        stars = stars.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    stars = materialize(stars.filter("kind = 1").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    mixed = materialize(stars.filter("ca <> cb").select(F.explode(F.array("a", "b")).alias("p")).distinct())
+    # either end may have been the first set, as the pairs are ordered by smallest key
+    touched = stars.join(mixed, F.col("a") == F.col("p"), "left_semi").unionByName(stars.join(mixed, F.col("b") == F.col("p"), "left_semi"))
+    touched = touched.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("ca").alias("c")), F.struct(F.col("b").alias("doc_id"), F.col("cb").alias("c")))).alias("x")).select("x.*").distinct()
+    if mixed.limit(1).count():
+        # a repeated key shares one set of links, so each of its texts is signed
+        texts = materialize(known.join(touched, "doc_id").select("doc_id", "text", "c"))
+        candidates = materialize(signatures(texts, buckets).groupBy("bucket").applyInPandas(_across, "kind int, a long, b long"))
+        new = possible(candidates.filter("kind = 0").distinct(), classes, "rep").filter("close").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        texts = texts.select("doc_id", "text")
+        links = links.unionByName(materialize(verify(materialize(new), texts)))
+        labels = components(links)
+        more = residual(candidates, texts, classes, labels)
+        if more is not None:
+            labels = components(links.unionByName(materialize(more)))
+    reps = facts.filter("n > 0").join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct()
     found = labels.select(F.col("node").alias("rep"), "component")
     groups = reps.join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c")).unionByName(found.select(F.col("rep").alias("doc_id"), F.col("component").alias("c")))
     groups = materialize(groups.groupBy("doc_id").agg(F.min("c").alias("c")))
