@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -213,12 +213,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """For each of 1024 hash classes whether the set has an odd number of its elements, as 16 longs.
+    """For each of 1024 hash classes, or as many as elements, whether the set has an odd number of its elements; 64 classes a long.
 
     Each class in which two sets differ takes a different element, so the
-    number of such classes is a lower bound of the sets' difference.
+    number of such classes is a lower bound of the sets' difference. Halves
+    can be folded, as a class is given by the lowest bits.
     """
-    return np.packbits(np.bincount(s >> _U(54), minlength=1024) & 1).view(np.int64)
+    classes = max(1024, 1 << (len(s) - 1).bit_length()) if len(s) else 1024
+    odd = np.bincount((s & _U(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd).view(np.int64)
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -264,7 +267,8 @@ def signatures(docs: DataFrame, buckets: int) -> DataFrame:
             owner, component = np.array(keep, dtype=np.int64).reshape(-1, 2).T
             rows: list[tuple] = []
             for lower in (False, True):
-                d, sig, weight, _, _ = signer.sign(sets, lower)
+                d, sig, weight, has, must = signer.sign(sets, lower)
+                slack = (has - must).astype("<i4")
                 bucket = ((sig >> _U(44)) % _U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 d, sig, weight, bucket = d[order], sig[order], weight[order], bucket[order]
@@ -273,12 +277,12 @@ def signatures(docs: DataFrame, buckets: int) -> DataFrame:
                     dd, ss, ww = d[cut[k] : cut[k + 1]], sig[cut[k] : cut[k + 1]], weight[cut[k] : cut[k + 1]]
                     at = np.flatnonzero(np.r_[True, dd[1:] != dd[:-1]])
                     low, high = (ss & _U(0xFFFFFFFF)).astype("<u4"), ((ss >> _U(32)) & _U(0x3F) | ww << _U(6)).astype("u1")
-                    rows.append((int(k), int(lower), owner[dd[at]].tobytes(), component[dd[at]].tobytes() if placed else b"", np.diff(np.r_[at, len(dd)]).astype("<u4").tobytes(), low.tobytes(), high.tobytes()))
+                    rows.append((int(k), int(lower), owner[dd[at]].tobytes(), component[dd[at]].tobytes() if placed else b"", slack[dd[at]].tobytes() if placed else b"", np.diff(np.r_[at, len(dd)]).astype("<u4").tobytes(), low.tobytes(), high.tobytes()))
             if rows:
-                kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "lower", "ids", "comps", "counts", "low", "high"])
+                kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "lower", "ids", "comps", "slacks", "counts", "low", "high"])
 
-    return docs.mapInArrow(run, "bucket int, lower int, ids binary, comps binary, counts binary, low binary, high binary")
+    return docs.mapInArrow(run, "bucket int, lower int, ids binary, comps binary, slacks binary, counts binary, low binary, high binary")
 
 
 def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,9 +295,9 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lists(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """(list, id, component, weight, lower) of the sets in lists of two or more, sorted."""
+    """(list, id, component, weight, slack, lower) of the sets in lists of two or more, sorted."""
     counts = [np.frombuffer(c, "<u4") for c in group["counts"]]
-    ids, comps = (np.concatenate([np.repeat(np.frombuffer(i, np.int64), c) if i else np.zeros(c.sum(), np.int64) for i, c in zip(group[name], counts, strict=True)]) for name in ("ids", "comps"))
+    ids, comps, slack = (np.concatenate([np.repeat(np.frombuffer(i, kind), c) if i else np.zeros(c.sum(), kind) for i, c in zip(group[name], counts, strict=True)]) for name, kind in (("ids", "<i8"), ("comps", "<i8"), ("slacks", "<i4")))
     high = np.concatenate([np.frombuffer(x, "u1") for x in group["high"]]).astype(np.uint64)
     sig = np.concatenate([np.frombuffer(x, "<u4") for x in group["low"]]).astype(np.uint64) | (high & _U(0x3F)) << _U(32)
     lower = np.repeat(group["lower"].to_numpy(), [len(x) for x in group["high"]])
@@ -302,11 +306,11 @@ def _lists(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
     many = np.diff(np.r_[start, len(sig)])
     run, kept = np.repeat(np.arange(len(start)), many), np.repeat(many > 1, many)
     order, run = order[kept], run[kept]
-    ids, comps, weight, lower = ids[order], comps[order], (high[order] >> _U(6)).astype(np.int64), lower[order]
+    ids, comps, weight, slack, lower = ids[order], comps[order], (high[order] >> _U(6)).astype(np.int64), slack[order], lower[order]
     order = np.lexsort((ids, comps, run))
-    run, ids, comps, weight, lower = run[order], ids[order], comps[order], weight[order], lower[order]
+    run, ids, comps, weight, slack, lower = (x[order] for x in (run, ids, comps, weight, slack, lower))
     new = np.r_[True, (run[1:] != run[:-1]) | (ids[1:] != ids[:-1])][: len(run)]
-    return run[new], ids[new], comps[new], weight[new], lower[new]
+    return run[new], ids[new], comps[new], weight[new], slack[new], lower[new]
 
 
 def _starts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +321,7 @@ def _starts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _stars(group: pd.DataFrame) -> pd.DataFrame:
     """The first set of each list with each other one; kind 1 if the list has more than two."""
-    run, ids, _, _, _ = _lists(group)
+    run, ids, *_ = _lists(group)
     start, many = _starts(run)
     pivot, long = np.repeat(ids[start], many), np.repeat(many > 2, many)
     a, b = unique_pairs(pivot[long], ids[long])
@@ -327,8 +331,8 @@ def _stars(group: pd.DataFrame) -> pd.DataFrame:
 
 def _across(group: pd.DataFrame) -> pd.DataFrame:
     """What one bucket says about sets of different components. kind 0: a pair. kind 1: first set and another one of a long list.
-    kinds 2 and 3: set a lost weight b to long lists in the group that its band begins, or ends."""
-    run, ids, comps, weight, lower = _lists(group)
+    kinds 2 and 3: set a lost weight b, of which slack does no harm, to long lists in the group that its band begins, or ends."""
+    run, ids, comps, weight, slack, lower = _lists(group)
     start, many = _starts(run)
     block = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (comps[1:] != comps[:-1])][: len(run)])
     size = np.diff(np.r_[block, len(run)])
@@ -348,25 +352,35 @@ def _across(group: pd.DataFrame) -> pd.DataFrame:
     a, b = unique_pairs(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
     long &= several
     parts = [(a, b, 0), (*unique_pairs(np.repeat(ids[start], many)[long], ids[long]), 1)]
+    slacks = [np.zeros(sum(len(x) for x, _, _ in parts), np.int64)]
     for k in (0, 1):
         on = long & (lower == k)
-        who, at = np.unique(ids[on], return_inverse=True)
+        who, first, at = np.unique(ids[on], return_index=True, return_inverse=True)
         parts.append((who, np.bincount(at, weight[on], len(who)), 2 + k))
-    return pd.DataFrame({"kind": np.concatenate([np.full(len(x), k, np.int32) for x, _, k in parts]), "a": np.concatenate([x for x, _, _ in parts]), "b": np.concatenate([y for _, y, _ in parts]).astype(np.int64)})
+        slacks.append(slack[on][first])
+    return pd.DataFrame({"kind": np.concatenate([np.full(len(x), k, np.int32) for x, _, k in parts]), "a": np.concatenate([x for x, _, _ in parts]), "b": np.concatenate([y for _, y, _ in parts]).astype(np.int64), "slack": np.concatenate(slacks).astype(np.int64)})
 
 
 def possible(pairs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     """The pairs of smallest keys that sizes and parities do not rule out; ``pairs`` name sets by ``key`` and keep their kind."""
     l, r = (classes.select(F.col(key).alias(x), F.col("rep").alias(f"rep{k}"), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"odd{k}")) for k, x in ((1, "a"), (2, "b")))  # noqa: E741
-    differ = F.aggregate(F.zip_with("odd1", "odd2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+
+    def folded(x: str, other: str) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(other), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+
+    # sizes that may be similar differ by one fold at most; longer ones leave nulls, which decide nothing
+    differ = F.aggregate(F.zip_with(folded("odd1", "odd2"), folded("odd2", "odd1"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     close = (F.col("n1") * NUM <= F.col("n2") * DEN) & (F.col("n2") * NUM <= F.col("n1") * DEN)
-    close &= differ * (DEN + NUM) <= (F.col("n1") + F.col("n2")) * (DEN - NUM)
+    close = close & (differ * (DEN + NUM) <= (F.col("n1") + F.col("n2")) * (DEN - NUM))
     out = pairs.join(r, "b").join(l, "a").filter("rep1 <> rep2")
     return out.select("kind", F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"), close.alias("close"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
+    pairs = materialize(pairs)
+    docs = _fetch(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
@@ -394,8 +408,13 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with one of ``ids`` (column doc_id), written once for several uses."""
-    return materialize(docs.join(ids.distinct(), "doc_id", "left_semi"))
+    """Rows of ``docs`` with one of ``ids`` (column doc_id), written once for several uses.
+
+    The ids are written first, so that Spark knows their size: it broadcasts
+    them below ``spark.sql.autoBroadcastJoinThreshold``, and shuffles the
+    texts only beyond it.
+    """
+    return materialize(docs.join(materialize(ids.distinct()), "doc_id", "left_semi"))
 
 
 def residual(candidates: DataFrame, texts: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame | None:
@@ -406,21 +425,9 @@ def residual(candidates: DataFrame, texts: DataFrame, classes: DataFrame, labels
     rarest shingle first.
     """
     stars = materialize(candidates.filter("kind = 1").select("a", "b").distinct())
-    lost = candidates.filter("kind >= 2").groupBy(F.col("a").alias("doc_id")).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("b"))), F.lit(0)).alias(f"l{k}") for k in (2, 3)])
-    rows = texts.join(lost, "doc_id").select("doc_id", "text", "l2", "l3")
-
-    def openness(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, signer = Shingler(), Signer()
-        for f in frames:
-            for i in range(0, len(f), 256):
-                part = f.iloc[i : i + 256]
-                sets = [shingler.set(t) for t in part["text"]]
-                open_ = np.zeros(len(sets), bool)
-                for lower, column in ((False, "l2"), (True, "l3")):
-                    _, _, _, has, must = signer.sign(sets, lower)
-                    lost = part[column].to_numpy()
-                    open_ |= (lost > 0) & (has - lost < must)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "open": open_})
+    # the lists of one group (kind 2 or 3) tell a set's slack, each the same
+    lost = candidates.filter("kind >= 2").groupBy(F.col("a").alias("o"), "kind").agg(F.sum("b").alias("lost"), F.min("slack").alias("slack"))
+    relying = materialize(lost.filter("lost > slack").select("o").distinct())
 
     def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
@@ -431,7 +438,6 @@ def residual(candidates: DataFrame, texts: DataFrame, classes: DataFrame, labels
                 n = [len(s) for s in sets]
                 yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), n), "n": np.repeat(n, n), "open": np.repeat(part["open"].to_numpy(), n), "h": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)})
 
-    relying = materialize(rows.mapInPandas(openness, "doc_id long, open boolean").filter("open").select(F.col("doc_id").alias("o")))
     if not relying.limit(1).count():
         return None
     states = relying.select(F.col("o").alias("doc_id"), F.lit(True).alias("open"))
@@ -439,8 +445,8 @@ def residual(candidates: DataFrame, texts: DataFrame, classes: DataFrame, labels
     firsts = stars.join(relying, F.col("a") == F.col("o"), "left_semi").unionByName(stars.join(relying, F.col("b") == F.col("o"), "left_semi"))
     firsts = materialize(firsts.select(F.explode(F.array("a", "b")).alias("p")).distinct())
     near = stars.join(firsts, F.col("a") == F.col("p"), "left_semi").unionByName(stars.join(firsts, F.col("b") == F.col("p"), "left_semi"))
-    near = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    chosen = texts.join(near, "doc_id", "left_semi").join(states, "doc_id", "left").select("doc_id", "text", F.coalesce("open", F.lit(False)).alias("open"))
+    near = near.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    chosen = _fetch(texts, near).join(states, "doc_id", "left").select("doc_id", "text", F.coalesce("open", F.lit(False)).alias("open"))
     shingles = materialize(chosen.mapInPandas(explode, "doc_id long, n long, open boolean, h long"))
     often = materialize(shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     ranked = shingles.join(often, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
@@ -454,7 +460,7 @@ def residual(candidates: DataFrame, texts: DataFrame, classes: DataFrame, labels
     close = (F.col("doc_id1") < F.col("doc_id2")) & (F.col("c1") != F.col("c2")) & F.when(F.col("n1") > F.col("n2"), F.col("open1")).when(F.col("n1") < F.col("n2"), F.col("open2")).otherwise(F.col("open1") & F.col("open2"))
     close &= (F.col("n1") * NUM <= F.col("n2") * DEN) & (F.col("n2") * NUM <= F.col("n1") * DEN)
     pairs = l.join(r, "h").filter(close).select(F.lit(4).alias("kind"), F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct()
-    return verify(materialize(possible(pairs, classes, "rep").filter("close").select("a", "b")), texts)
+    return verify(possible(pairs, classes, "rep").filter("close").select("a", "b"), texts)
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -481,7 +487,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     stars = possible(stars.groupBy("a", "b").agg(F.max("kind").alias("kind")), classes, "f1")
     stars = materialize(stars.groupBy("a", "b").agg(F.max("kind").alias("kind"), F.first("close").alias("close")))
     pairs = stars.filter("close").select("a", "b")
-    links = materialize(verify(pairs, _fetch(known, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))))
+    links = materialize(verify(pairs, known))
     labels = components(links)
     # sets of lists that still have several components
     for c in ("a", "b"):
@@ -490,14 +496,14 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     mixed = materialize(stars.filter("ca <> cb").select(F.explode(F.array("a", "b")).alias("p")).distinct())
     # either end may have been the first set, as the pairs are ordered by smallest key
     touched = stars.join(mixed, F.col("a") == F.col("p"), "left_semi").unionByName(stars.join(mixed, F.col("b") == F.col("p"), "left_semi"))
-    touched = touched.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("ca").alias("c")), F.struct(F.col("b").alias("doc_id"), F.col("cb").alias("c")))).alias("x")).select("x.*").distinct()
+    touched = materialize(touched.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("ca").alias("c")), F.struct(F.col("b").alias("doc_id"), F.col("cb").alias("c")))).alias("x")).select("x.*").distinct())
     if mixed.limit(1).count():
         # a repeated key shares one set of links, so each of its texts is signed
         texts = materialize(known.join(touched, "doc_id").select("doc_id", "text", "c"))
-        candidates = materialize(signatures(texts, buckets).groupBy("bucket").applyInPandas(_across, "kind int, a long, b long"))
-        new = possible(candidates.filter("kind = 0").distinct(), classes, "rep").filter("close").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        candidates = materialize(signatures(texts, buckets).groupBy("bucket").applyInPandas(_across, "kind int, a long, b long, slack long"))
+        new = possible(candidates.filter("kind = 0").select("kind", "a", "b").distinct(), classes, "rep").filter("close").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
         texts = texts.select("doc_id", "text")
-        links = links.unionByName(materialize(verify(materialize(new), texts)))
+        links = links.unionByName(materialize(verify(new, texts)))
         labels = components(links)
         more = residual(candidates, texts, classes, labels)
         if more is not None:
