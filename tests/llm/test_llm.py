@@ -50,6 +50,15 @@ def test_jaccard_matches_brute_force(spark):
     assert got == brute_groups(rows)
 
 
+def test_jaccard_long_sets_of_different_classes(spark):
+    base = [f"u{i}" for i in range(1340)]
+    rows = [(1, base), (2, base[:1010]), (3, base[:900]), (4, [f"v{w}" for w in base]), (5, base[:700] + [f"x{w}" for w in base[700:]])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    assert len(jaccard.parities(np.arange(1336, dtype=np.uint64))) == 2 * len(jaccard.parities(np.arange(1006, dtype=np.uint64)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows) and got[2][1] == got[3][1] == 1
+
+
 def test_jaccard_empty_and_null_keys(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e")], "doc_id long, text string")
     assert [x.component_id for x in jaccard.similar_groups(df).collect()] == [None, None]
