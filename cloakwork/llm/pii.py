@@ -10,7 +10,7 @@ KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "date": r"(?<![\dA-Za-z-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\dA-Za-z-])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\dA-Za-z])(?:\+1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4}(?![\dA-Za-z])",
+    "phone": r"(?<![\dA-Za-z])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\dA-Za-z])",
     "number": r"(?<![\dA-Za-z])(?:(?:\d{4}[ -]){3}\d{4}|\d{13,18})(?![\dA-Za-z])",
 }
 ANY = "|".join(KINDS.values())
@@ -86,12 +86,15 @@ def number(key: str, m: Column) -> Column:
 
 
 def phone(key: str, m: Column) -> Column:
-    """Area codes stay in 200 to 999; the country code and all punctuation stay."""
+    """Area codes of 000 to 199 stay among those and others in 200 to 999; the country code and all punctuation stay."""
     shape = r"^((?:\+1[ .-]?)?\(?)(\d{3})(\D+)(\d{3})(\D)(\d{4})$"
     part = lambda i: F.regexp_extract(m, shape, i)
+    area = part(2).cast("long")
+    low = area < 200
+    least = F.when(low, 0).otherwise(200)
     return feistel(
-        key, "phone", part(2).cast("long") - 200, F.concat(part(4), part(6)).cast("long"), 800, 10_000_000,
-        lambda l, r: F.concat(part(1), (l + 200).cast("string"), part(3), F.substring(_padded(r, 7), 1, 3), part(5), F.substring(_padded(r, 7), 4, 4)),
+        key, "phone", area - least, F.concat(part(4), part(6)).cast("long"), F.when(low, 200).otherwise(800), 10_000_000,
+        lambda l, r: F.concat(part(1), _padded(l + least, 3), part(3), F.substring(_padded(r, 7), 1, 3), part(5), F.substring(_padded(r, 7), 4, 4)),
     )
 
 
@@ -131,8 +134,8 @@ def _kind(m: Column) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten, and ``n_email, n_date, n_ip, n_phone, n_number`` added.
 
-    Card-like numbers (with their Luhn digit), North American phone numbers,
-    IPv4 addresses and ISO dates are permuted under ``key`` within their
+    Card-like numbers (with their Luhn digit), phone numbers written the North
+    American way (with any three digits as area code), IPv4 addresses and ISO dates are permuted under ``key`` within their
     format, so equal values stay equal in all documents and different ones
     stay different; the local part of an e-mail address becomes keyed hex
     digits. Null text stays null with counts 0; empty text stays empty; rows

@@ -151,6 +151,21 @@ def test_pii_is_a_permutation_within_formats(spark):
     assert many.distinct().count() == 3000
 
 
+def test_pii_phones_of_any_area_code(spark):
+    shapes = ["+1 ({}) 555-7713", "({}) 555-2766", "{}-555-0100", "+1.{}.555.0100"]
+    areas = ["000", "017", "099", "100", "139", "199", "200", "212", "999"]
+    rows = [s.format(a) for s in shapes for a in areas]
+    df = spark.createDataFrame([(i, f"call {t}, now") for i, t in enumerate(rows)], "doc_id int, text string")
+    for x in pii.pseudonymize(df, "k").collect():
+        old, new = rows[x.doc_id], x.text[len("call ") : -len(", now")]
+        assert x.n_phone == 1 and new != old and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", old)
+        a, b = (re.search(r"\d{3}", t.removeprefix("+1"))[0] for t in (old, new))
+        assert (int(a) < 200) == (int(b) < 200)
+    # all area codes, one line number
+    many = spark.range(1000).select(pii.phone("k", F.concat(F.lit("("), F.lpad(F.col("id").cast("string"), 3, "0"), F.lit(") 555-0100"))).alias("p"))
+    assert many.distinct().count() == 1000
+
+
 def test_urls(spark):
     u = ["http://a.b.example.com/en/7?x", "https://x.com/en/", "http://free-bets.org/", "http://freebets.org/", "nothing", None, "HTTP://SPAM.org/a#b", "http://q.example.net/de/8"]
     got = [(x.host, x.path, x.rule, x.verdict) for x in urls.filter_urls(spark.createDataFrame([(i, v, "h") for i, v in enumerate(u)], "page_id int, url string, host string")).orderBy("page_id").collect()]
