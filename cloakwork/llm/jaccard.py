@@ -295,7 +295,10 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lists(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """(list, id, component, weight, slack, lower) of the sets in lists of two or more, sorted."""
+    """(list, id, component, weight, slack, lower) of the sets in lists of two or more, sorted.
+
+    Several sets of one id count as one with the largest weight and the least slack in each of both groups.
+    """
     counts = [np.frombuffer(c, "<u4") for c in group["counts"]]
     ids, comps, slack = (np.concatenate([np.repeat(np.frombuffer(i, kind), c) if i else np.zeros(c.sum(), kind) for i, c in zip(group[name], counts, strict=True)]) for name, kind in (("ids", "<i8"), ("comps", "<i8"), ("slacks", "<i4")))
     high = np.concatenate([np.frombuffer(x, "u1") for x in group["high"]]).astype(np.uint64)
@@ -307,10 +310,12 @@ def _lists(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
     run, kept = np.repeat(np.arange(len(start)), many), np.repeat(many > 1, many)
     order, run = order[kept], run[kept]
     ids, comps, weight, slack, lower = ids[order], comps[order], (high[order] >> _U(6)).astype(np.int64), slack[order], lower[order]
-    order = np.lexsort((ids, comps, run))
+    order = np.lexsort((lower, ids, comps, run))
     run, ids, comps, weight, slack, lower = (x[order] for x in (run, ids, comps, weight, slack, lower))
-    new = np.r_[True, (run[1:] != run[:-1]) | (ids[1:] != ids[:-1])][: len(run)]
-    return run[new], ids[new], comps[new], weight[new], slack[new], lower[new]
+    new = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (ids[1:] != ids[:-1]) | (lower[1:] != lower[:-1])][: len(run)])
+    if len(new):
+        weight, slack = np.maximum.reduceat(weight, new), np.minimum.reduceat(slack, new)
+    return run[new], ids[new], comps[new], weight, slack, lower[new]
 
 
 def _starts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,9 +360,11 @@ def _across(group: pd.DataFrame) -> pd.DataFrame:
     slacks = [np.zeros(sum(len(x) for x, _, _ in parts), np.int64)]
     for k in (0, 1):
         on = long & (lower == k)
-        who, first, at = np.unique(ids[on], return_index=True, return_inverse=True)
+        who, at = np.unique(ids[on], return_inverse=True)
         parts.append((who, np.bincount(at, weight[on], len(who)), 2 + k))
-        slacks.append(slack[on][first])
+        least = np.full(len(who), np.iinfo(np.int64).max)
+        np.minimum.at(least, at, slack[on])
+        slacks.append(least)
     return pd.DataFrame({"kind": np.concatenate([np.full(len(x), k, np.int32) for x, _, k in parts]), "a": np.concatenate([x for x, _, _ in parts]), "b": np.concatenate([y for _, y, _ in parts]).astype(np.int64), "slack": np.concatenate(slacks).astype(np.int64)})
 
 
@@ -422,10 +429,11 @@ def residual(candidates: DataFrame, texts: DataFrame, classes: DataFrame, labels
 
     A pair is found without them unless its larger set relied on them; such
     sets and the other ones of their lists are joined by a prefix filter,
-    rarest shingle first.
+    rarest shingle first. Each different text of a ``doc_id`` is a set of its
+    own there, known by ``doc_id`` and a hash of the text.
     """
     stars = materialize(candidates.filter("kind = 1").select("a", "b").distinct())
-    # the lists of one group (kind 2 or 3) tell a set's slack, each the same
+    # the lists of one group (kind 2 or 3) tell a set's slack, each the same; of several sets of one id the least counts, against what all lost
     lost = candidates.filter("kind >= 2").groupBy(F.col("a").alias("o"), "kind").agg(F.sum("b").alias("lost"), F.min("slack").alias("slack"))
     relying = materialize(lost.filter("lost > slack").select("o").distinct())
 
@@ -436,7 +444,7 @@ def residual(candidates: DataFrame, texts: DataFrame, classes: DataFrame, labels
                 part = f.iloc[i : i + 256]
                 sets = [shingler.set(t) for t in part["text"]]
                 n = [len(s) for s in sets]
-                yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), n), "n": np.repeat(n, n), "open": np.repeat(part["open"].to_numpy(), n), "h": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)})
+                yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), n), "set": np.repeat(part["set"].to_numpy(), n), "n": np.repeat(n, n), "open": np.repeat(part["open"].to_numpy(), n), "h": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)})
 
     if not relying.limit(1).count():
         return None
@@ -446,11 +454,13 @@ def residual(candidates: DataFrame, texts: DataFrame, classes: DataFrame, labels
     firsts = materialize(firsts.select(F.explode(F.array("a", "b")).alias("p")).distinct())
     near = stars.join(firsts, F.col("a") == F.col("p"), "left_semi").unionByName(stars.join(firsts, F.col("b") == F.col("p"), "left_semi"))
     near = near.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    chosen = _fetch(texts, near).join(states, "doc_id", "left").select("doc_id", "text", F.coalesce("open", F.lit(False)).alias("open"))
-    shingles = materialize(chosen.mapInPandas(explode, "doc_id long, n long, open boolean, h long"))
+    # repeated rows are one set
+    chosen = _fetch(texts, near).select("doc_id", "text").distinct().join(states, "doc_id", "left")
+    chosen = chosen.select("doc_id", F.xxhash64("text").alias("set"), "text", F.coalesce("open", F.lit(False)).alias("open"))
+    shingles = materialize(chosen.mapInPandas(explode, "doc_id long, set long, n long, open boolean, h long"))
     often = materialize(shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     ranked = shingles.join(often, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "h"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "set").orderBy("df", "h"))
     prefix = ranked.withColumn("place", place).filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1) & (F.col("df") > 1))
     prefix = prefix.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n", "open", "h", F.coalesce("component", "doc_id").alias("c"))
     prefix = materialize(prefix)

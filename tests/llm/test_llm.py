@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,36 @@ def test_jaccard_long_sets_of_different_classes(spark):
     assert got == brute_groups(rows) and got[2][1] == got[3][1] == 1
 
 
+def test_jaccard_residual_with_repeated_rows(spark):
+    # 343 of 457 shingles are shared, so only the full prefix of 101 shingles reaches one of them
+    def pair(name):
+        base = [f"{name}{i}" for i in range(404)]
+        return " ".join(base), " ".join(base[:347] + [f"{name}x{i}" for i in range(57)])
+
+    (a, b), (c, d), (e, f), (g, h) = map(pair, "abcd")
+    other = " ".join(f"y{i}" for i in range(404))
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, b), (3, other), (3, c), (4, d), (5, e), (5, e.upper()), (5, e), (6, f), (6, f + " "), (7, g), (8, h)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    classes = jaccard.describe(texts).groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("odd").alias("odd"))
+    lists = [(1, 1, i, 0) for i in range(2, 9)] + [(k, i, 9, 0) for i in range(1, 9) for k in (2, 3)]
+    candidates = spark.createDataFrame(lists, "kind int, a long, b long, slack long")
+    labels = spark.createDataFrame([], "node long, component long")
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, t in rows for w in [t.lower().split()]]
+    want = {(i, j) for i, x in sets for j, y in sets if i < j and 4 * len(x & y) >= 3 * len(x | y)}
+    got = [(x.a, x.b) for x in jaccard.residual(candidates, texts, classes, labels).collect()]
+    assert sorted(got) == sorted(want) == [(1, 2), (3, 4), (5, 6), (7, 8)]
+
+
+def test_jaccard_lists_of_ids_with_several_sets():
+    # id 7 is in the list twice with one group, and once with the other
+    def row(i, lower, slack, weight):
+        return (0, lower, np.array([i], "<i8").tobytes(), np.array([i], "<i8").tobytes(), np.array([slack], "<i4").tobytes(), np.array([1], "<u4").tobytes(), np.array([5], "<u4").tobytes(), np.array([weight << 6], "u1").tobytes())
+
+    group = pd.DataFrame([row(7, 0, 4, 1), row(7, 0, 1, 2), row(7, 1, 3, 1), row(8, 0, 2, 1)], columns=["bucket", "lower", "ids", "comps", "slacks", "counts", "low", "high"])
+    _, ids, _, weight, slack, lower = jaccard._lists(group)
+    assert list(zip(ids.tolist(), lower.tolist(), weight.tolist(), slack.tolist(), strict=True)) == [(7, 0, 2, 1), (7, 1, 1, 3), (8, 0, 1, 2)]
+
+
 def test_jaccard_empty_and_null_keys(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e")], "doc_id long, text string")
     assert [x.component_id for x in jaccard.similar_groups(df).collect()] == [None, None]
