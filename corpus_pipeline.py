@@ -18,8 +18,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier does not reject."""
+    """Documents that the compression classifier does not reject; all of them if a class has no usable text, so that no model could be fitted."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model.good is None or model.bad is None:
+        return docs.select(*COLUMNS)
     return quality.score(docs, model).filter("predicted = 1").select(*COLUMNS)
 
 

@@ -1,0 +1,14 @@
+import pytest
+
+import corpus_pipeline
+
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+LABEL = "doc_id long, quality int, toxic int"
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, 1, 0), (3, 1, 0)], [(i, i % 2, 0) for i in range(900, 940)]])
+def test_keep_good_without_a_model_keeps_all(spark, tmp_path, labels):
+    spark.createDataFrame(labels, LABEL).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(["some clean words.", "more of them.", "and more.", "", None])]
+    got = corpus_pipeline.keep_good(spark, spark.createDataFrame(rows, DOCUMENT), str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == rows
