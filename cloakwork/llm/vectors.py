@@ -38,16 +38,30 @@ def learn_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = 30, seed:
     return mean, p @ r
 
 
-def codes_of(vector: Column, mean: np.ndarray, projection: np.ndarray):
-    bits = projection.shape[1]
-    powers = np.left_shift(np.uint64(1), np.arange(bits, dtype=np.uint64))
+def random_rotation(size: int, bits: int = BITS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection) for vectors of a length that has too few in the sample."""
+    q, _ = np.linalg.qr(np.random.default_rng((seed, size)).normal(size=(size, min(bits, size))))
+    return np.zeros(size), q
+
+
+def codes_of(vector: Column, learnt: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """Codes under the rotation of each vector's length, a random one where none is learnt."""
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = dict(learnt)
         for s in batches:
-            x = np.array(s.tolist(), dtype="float64").reshape(len(s), -1)
-            on = (x - mean) @ projection >= 0
-            yield pd.Series((on * powers).sum(axis=1, dtype=np.uint64).view(np.int64))
+            sizes = s.map(len).to_numpy()
+            codes = np.zeros(len(s), dtype=np.uint64)
+            for size in np.unique(sizes).tolist():
+                if size not in known:
+                    known[size] = random_rotation(size)
+                mean, projection = known[size]
+                powers = np.left_shift(np.uint64(1), np.arange(projection.shape[1], dtype=np.uint64))
+                x = np.array(s[sizes == size].tolist(), dtype="float64").reshape(-1, size)
+                on = (x - mean) @ projection >= 0
+                codes[sizes == size] = (on * powers).sum(axis=1, dtype=np.uint64)
+            yield pd.Series(codes.view(np.int64))
 
     return run(vector)
 
@@ -65,16 +79,17 @@ def near_duplicates(
 ) -> DataFrame:
     """``key, n_links, component_id, kept`` for every row.
 
-    Rows link if their labels are equal and not null and their cosine, in
-    double precision, is at least ``least``. Vectors that are null, empty,
+    Rows link if their labels are equal and not null, their vectors have one
+    length and their cosine, in double precision, is at least ``least``. Vectors that are null, empty,
     zero, or hold null or non-finite components link with nothing. Equal
     vectors of a label are one class, whose size counts in n_links; only
     classes are compared. Pairs are looked for among codes that agree within
     one bit in one substring and differ in at most ``farthest`` bits overall,
     then tested exactly, so no link below ``least`` is reported; recall is
     measured in the tests. A repeated key counts as several vectors of one
-    node. Vectors of another length than the first sampled one link with
-    nothing; an empty table gives an empty result.
+    node. Each length has a rotation of its own, a random one if the table is
+    larger than the sample and fewer than ``BITS`` of that length are in it;
+    an empty table gives an empty result.
     """
     base = rows.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(vector).cast("array<double>").alias("v"))
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -85,35 +100,55 @@ def near_duplicates(
     # -0.0 and 0.0 are the same component
     usable = usable.withColumn("v", F.transform("v", lambda x: x + 0.0)).withColumn("h", F.xxhash64("l", "v"))
     classes = materialize(usable.groupBy("l", "v").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("norm").alias("norm"), F.first("h").alias("h")))
-    per_label = classes.groupBy("l").count().agg(F.max("count")).first()[0] or 0
+    classes = classes.withColumn("d", F.size("v"))
+    per_label = classes.groupBy("l", "d").count().agg(F.max("count")).first()[0] or 0
     pick = classes.orderBy(F.xxhash64("rep"), "rep").limit(max_sample).select("v").collect()
     if not pick:
         return base.select(F.col("k").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"), F.lit(True).alias("kept"))
-    size = len(pick[0]["v"])
-    sample = np.array([r["v"] for r in pick if len(r["v"]) == size])
-    sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    mean, projection = learn_rotation(sample)
+    sample: dict[int, list] = {}
+    for r in pick:
+        sample.setdefault(len(r["v"]), []).append(r["v"])
+    learnt = {}
+    for size, vs in sample.items():
+        if len(vs) >= BITS or len(pick) < max_sample:
+            x = np.array(vs)
+            learnt[size] = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True))
     unit = F.transform("v", lambda x: x / F.col("norm"))
-    coded = materialize(classes.filter(F.size("v") == size).withColumn("code", codes_of(unit, mean, projection)))
-    tables = tables_for(per_label, projection.shape[1])
+    coded = materialize(classes.withColumn("code", codes_of(unit, learnt)))
+    # lengths whose codes have the same number of bits share their tables
+    lengths: dict[int, list[int]] = {}
+    for size, (_, projection) in learnt.items():
+        lengths.setdefault(projection.shape[1], []).append(size)
+    rest = ~F.col("d").isin(list(learnt))
+    few = [r[0] for r in classes.filter(rest).select(F.least("d", F.lit(BITS))).distinct().collect()]  # BITS numbers at most
+
+    def by_bits(entries) -> Column:
+        """Of the tables for each number of bits, those that the vector's length has."""
+        own = {b: F.col("d").isin(sizes) for b, sizes in lengths.items()}
+        for b in few:
+            of = rest & (F.least("d", F.lit(BITS)) == b)
+            own[b] = own[b] | of if b in own else of
+        out = F
+        for b, condition in own.items():
+            out = out.when(condition, F.array(*entries(tables_for(per_label, b))))
+        return F.explode(out).alias("e")
+
     part = lambda shift, width: F.shiftrightunsigned("code", shift).bitwiseAND(F.lit((1 << width) - 1))
-    index = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), part(*sw).alias("p")) for t, sw in enumerate(tables)])).alias("e")
-    probe = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(t).alias("t"), (part(s, w).bitwiseXOR(F.lit(flip))).alias("p"))
-                for t, (s, w) in enumerate(tables)
-                for flip in (0, *(1 << i for i in range(w)))
-            ]
-        )
-    ).alias("e")
-    side = lambda e, r, c, h: coded.select("l", F.col("rep").alias(r), F.col("code").alias(c), e, F.col("h").alias(h)).select("l", "e.t", "e.p", r, c, h)
-    found = side(probe, "a", "ca", "ha").join(side(index, "b", "cb", "hb"), ["l", "t", "p"])
+    index = by_bits(lambda tables: [F.struct(F.lit(t).alias("t"), part(*sw).alias("p")) for t, sw in enumerate(tables)])
+    probe = by_bits(
+        lambda tables: [
+            F.struct(F.lit(t).alias("t"), (part(s, w).bitwiseXOR(F.lit(flip))).alias("p"))
+            for t, (s, w) in enumerate(tables)
+            for flip in (0, *(1 << i for i in range(w)))
+        ]
+    )
+    side = lambda e, r, c, h: coded.select("l", "d", F.col("rep").alias(r), F.col("code").alias(c), e, F.col("h").alias(h)).select("l", "d", "e.t", "e.p", r, c, h)
+    found = side(probe, "a", "ca", "ha").join(side(index, "b", "cb", "hb"), ["l", "d", "t", "p"])
     found = found.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= farthest))
-    pairs = found.select("l", "a", "b").distinct()
-    own = coded.select("l", "rep", "v", "norm", "n")
-    full = pairs.join(own.select("l", F.col("rep").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"), F.col("n").alias("size_a")), ["l", "a"])
-    full = full.join(own.select("l", F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"), F.col("n").alias("size_b")), ["l", "b"])
+    pairs = found.select("l", "d", "a", "b").distinct()
+    own = coded.select("l", "d", "rep", "v", "norm", "n")
+    full = pairs.join(own.select("l", "d", F.col("rep").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"), F.col("n").alias("size_a")), ["l", "d", "a"])
+    full = full.join(own.select("l", "d", F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"), F.col("n").alias("size_b")), ["l", "d", "b"])
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     links = materialize(full.filter(dot / (F.col("na") * F.col("nb")) >= least).select("a", "b", "size_a", "size_b"))
     ends = links.select(F.col("a").alias("rep"), F.col("size_b").alias("n")).unionByName(links.select(F.col("b").alias("rep"), F.col("size_a").alias("n")))
@@ -121,7 +156,7 @@ def near_duplicates(
     comp = components(links).withColumnRenamed("node", "rep")
     facts = materialize(coded.select("l", "v", "rep", "n").join(other, "rep", "left").join(comp, "rep", "left").select("l", "v", "rep", "n", "others", "component"))
     joined = usable.select("k", "l", "v").join(facts, ["l", "v"]).select("k", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("c"))
-    linkable = F.col("ok") & (F.col("norm") > 0) & (F.col("norm") < float("inf")) & (F.size("v") == size)
+    linkable = F.col("ok") & (F.col("norm") > 0) & (F.col("norm") < float("inf"))
     alone = base.filter(~F.coalesce(linkable, F.lit(False)))
     alone = alone.select("k", F.lit(0).cast("long").alias("links"), F.col("k").alias("c"))
     out = joined.unionByName(alone)

@@ -226,6 +226,18 @@ def test_vectors_recall_and_precision(spark):
     assert (found <= link.sum(1)).all() and found.sum() >= 0.9 * link.sum() > 100 and all(got[i].n_links == 0 for i in range(5000, 5004))
 
 
+@pytest.mark.parametrize("max_sample", [vectors.MAX_SAMPLE, 30])
+def test_vectors_of_several_lengths(spark, max_sample):
+    r, x = np.random.default_rng(8), []
+    for size, n in ((3, 12), (16, 60), (70, 40)):
+        base = r.normal(size=(n, size))
+        x += [*base, *(base[: n // 2] + r.normal(size=(n // 2, size)) * 0.05), base[0]]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {g.vec_id: g.n_links for g in vectors.near_duplicates(df, max_sample=max_sample).collect()}
+    cosine = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    assert got == {i: sum(i != j and len(a) == len(b) and cosine(a, b) >= 0.93 for j, b in enumerate(x)) for i, a in enumerate(x)}
+
+
 def test_quality_on_held_out_labels(spark):
     good = [" ".join(words(60, i)) + "." for i in range(300)]
     bad = [" ".join(w.upper() + "!!" for w in words(60, i + 1000)) for i in range(100)]
