@@ -59,7 +59,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("tokens", encode),
 ]
-#: The classifier, the join and the tokenizer have no SQL; the tests hold the stages against brute force.
+#: The classifier, the join and the tokenizer have no SQL; tests/test_pipeline.py holds each stage against brute force or its operator.
 ORACLE_SQL = None
 
 
