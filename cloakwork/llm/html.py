@@ -37,19 +37,24 @@ AWAY = frozenset(
     "search alert alerts alertdialog status".split()
 )
 TOWARDS = frozenset("article body content entry hentry main page post text blog story articlebody".split())
+#: Words beside "header" by which a part is the head of an article.
+TITLED = frozenset("article entry hentry post story".split())
+#: What points count of within a part that is marked as no main text and yet holds it.
+LOWERED = 0.2
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attributes", "score", "dropped")
+    __slots__ = ("tag", "parent", "children", "attributes", "score", "dropped", "lowered")
 
     def __init__(self, tag: str, parent: Node | None, attributes: dict[str, str]):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.children: list[Node | str] = []
         self.score = 0.0
         self.dropped = False
+        self.lowered = False
 
 
 def parse(source: str) -> Node:
@@ -99,20 +104,54 @@ def _marks(node: Node) -> set[str]:
 
 
 def _unwanted(node: Node, inside: bool) -> bool:
-    """inside: within an article."""
+    """By tag or because it is hidden. inside: within an article."""
     a = node.attributes
     if node.tag in DROP or (node.tag == "header" and not inside):
         return True
     if not a or node.tag in ("article", "main") or node.tag in HEADING:
         return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
+    return "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
+
+
+def _away(node: Node) -> set[str]:
+    """The words that mark ``node`` as no main text."""
+    if not node.attributes or node.tag in ("article", "main") or node.tag in HEADING:
+        return set()
     marks = _marks(node)
-    return bool(marks & AWAY) and not (marks & {"articlebody", "article"})
+    return set() if marks & {"articlebody", "article"} else marks & AWAY
+
+
+def _main_parts(root: Node) -> set[int]:
+    """Ids of the nodes that hold an article or main element, or most of the page's text in paragraphs."""
+    order, stack = [], [(root, root.tag == "p")]
+    while stack:
+        n, within = stack.pop()
+        order.append((n, within))
+        stack.extend((c, within or c.tag == "p") for c in n.children if not isinstance(c, str) and not _unwanted(c, True))
+    length, holds = {}, set()
+    for n, within in reversed(order):  # children come before their parents
+        total = length.get(id(n), 0) + (sum(len(c.strip()) for c in n.children if isinstance(c, str)) if within else 0)
+        length[id(n)] = total
+        if n.parent is not None:
+            length[id(n.parent)] = length.get(id(n.parent), 0) + total
+            if id(n) in holds or (n.tag in ("article", "main") and not (_marks(n) & AWAY)):
+                holds.add(id(n.parent))
+    return holds | {i for i, total in length.items() if 2 * total > length[id(root)]}
+
+
+def _headings(node: Node) -> list[Node]:
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if n.tag in HEADING:
+            out.append(n)
+        else:
+            stack.extend(c for c in reversed(n.children) if not isinstance(c, str) and not _unwanted(c, True))
+    return out
 
 
 def _sweep(root: Node) -> None:
-    stack = [(root, False)]
+    stack, main_parts = [(root, False)], None
     while stack:
         node, inside = stack.pop()
         inside = inside or node.tag == "article"
@@ -120,9 +159,25 @@ def _sweep(root: Node) -> None:
         for c in node.children:
             if isinstance(c, str):
                 kept.append(c)
-            elif not _unwanted(c, inside):
-                kept.append(c)
-                stack.append((c, inside))
+                continue
+            if _unwanted(c, inside):
+                continue
+            c.lowered = node.lowered and c.tag not in ("article", "main")
+            if away := _away(c):
+                if main_parts is None and not inside:
+                    main_parts = _main_parts(root)
+                if not inside and id(c) in main_parts:
+                    c.lowered = True
+                elif away == {"header"} and (inside or _marks(c) & TITLED):
+                    for h in _headings(c):
+                        h.parent, h.lowered = node, node.lowered
+                        kept.append(h)
+                        stack.append((h, inside))
+                    continue
+                else:
+                    continue
+            kept.append(c)
+            stack.append((c, inside))
         node.children = [c for c in kept if not isinstance(c, str) and c.tag in HEADING] if node.tag == "header" else kept
 
 
@@ -184,7 +239,10 @@ def main_text(source: str | None) -> str:
     parent, half to the next ancestor and less to the further ones. A
     container's points are cut by the share of link text in it. A container
     within an article stands for the whole article. Siblings count with a
-    fifth of the best points, or if they are headings before it.
+    fifth of the best points, or if they are headings before it. Parts whose
+    class, id or role marks them as no main text are left out; if they hold an
+    article or main element, or most of the text in paragraphs, their points
+    are lowered instead.
     """
     root = parse(source or "")
     _sweep(root)
@@ -194,6 +252,7 @@ def main_text(source: str | None) -> str:
     total: dict[int, list] = {}
     for owner, text, linked in found:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
+        points *= LOWERED if owner.lowered else 1
         node, depth = (owner.parent if owner.parent is not None and owner.tag in ("p", "pre", "li", "td", *HEADING) else owner), 0
         up = owner
         while up is not None:
@@ -221,7 +280,9 @@ def main_text(source: str | None) -> str:
             if s is best:
                 before = False
                 parts.append(s)
-            elif s.score >= max(10, most / 5) or (before and s.tag in HEADING) or s.tag == "p":
+            elif s.lowered and not best.lowered:
+                continue
+            elif s.score >= max(10 * (LOWERED if best.lowered else 1), most / 5) or (before and s.tag in HEADING) or s.tag == "p":
                 parts.append(s)
     chosen = set(map(id, parts))
 

@@ -211,6 +211,19 @@ def test_html_edges(page):
     assert html.main_text(page) == {"plain": "plain"}.get(page, "a\nb, c" if page and "article" in page else "")
 
 
+def test_html_class_words_around_the_text():
+    text = "".join(f"<p>Sentence {i}, with words, and more of them in a row.</p>" for i in range(6))
+    want = [f"Sentence {i}, with words, and more of them in a row." for i in range(6)]
+    side = "<div class='sidebar'><p>Other, side, words</p></div>"
+    comments = "<div class='comments'><article class='comment'><p>no, no, no</p></article></div>"
+    assert html.main_text(f"<div class='site has-sidebar'><article>{text}</article>{side}{comments}</div>").split("\n") == want
+    assert html.main_text(f"<div class='page has-sidebar'><div><div class='content'>{text}</div></div>{side}</div>").split("\n") == want
+    titled = f"<div class='entry-header'><div><h1>Title</h1><span>by me</span></div></div>{text}"
+    assert html.main_text(f"<article>{titled}</article>{comments}").split("\n") == ["Title", *want]
+    assert html.main_text(f"<div class='content'>{titled}</div>{side}").split("\n") == ["Title", *want]
+    assert html.main_text(f"<div class='content'>{text}</div><div class='comments'>{text.replace('Sentence', 'Remark') * 2}</div>").split("\n") == want
+
+
 def test_vectors_recall_and_precision(spark):
     r = np.random.default_rng(3)
     base = r.normal(size=(400, 64))
