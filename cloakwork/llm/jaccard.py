@@ -6,7 +6,14 @@ than H can spoil agree on one of them. Each size band has its own number of
 segments; a set indexes the content of each of its segments, and for some
 segments also the contents with one element deleted, which lets those
 tolerate one difference. How many segments a band has, and how many of those
-get the deletions, is chosen by cost. Candidates are verified on whole sets.
+get the deletions, is chosen by cost.
+
+A signature's sets are its list. Each list first gives its first set with each
+other one; verified, these pairs join most of a group of near copies. Lists
+that still hold several components are then allocated by cost: a set's
+segments tolerate more than they must, so it drops its longest lists up to
+that slack, and a pair still meets in one list that both keep. The sets of
+such lists are compared in blocks of bounded size, which give links only.
 """
 
 from __future__ import annotations
@@ -22,15 +29,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import materialize
+from .storage import Scratch, materialize
 
 WIDTH = 5
 #: The similarity as a fraction.
 NUM, DEN = 3, 4
-#: Lists of up to this many pairs of components a member get all of them; others are handled exactly in ``residual``.
-PER_MEMBER = 6
-#: Pairs that are made at once.
-SLICE = 2_000_000
+#: Shingles of a block of sets that are compared with those of another block in one task.
+BLOCK = 1_000_000
+#: Pairs of sets whose parities are compared at once.
+SLICE = 1_000_000
+#: Bits of a signature within its bucket.
+LOW_BITS = 38
 #: Characters that are handled at once.
 CHUNK = 3_000_000
 REMEMBER = 500_000
@@ -98,15 +107,19 @@ def need(size: int, middle: int) -> int:
     return differences(size, min(size, middle)) + 1
 
 
+SIGMAS = 7
+
+
 @lru_cache(maxsize=None)
 def allocation(low: int, middle: int, top: int) -> tuple[int, int]:
     """(segments, those with deletions) of the group of bands with sizes ``low`` to ``top``.
 
     Costs are the expected signatures, those of a single shingle counting
     five times as they find more strangers. The tolerance must exceed what is
-    needed by seven standard deviations at the smallest, middle and largest
-    size, or all shingles are segments of their own (0, 0), which always
-    suffices.
+    needed by ``SIGMAS`` standard deviations at the smallest, middle and
+    largest size, or all shingles are segments of their own (0, 0), which
+    always suffices. A set whose own segments come out shorter is known to
+    ``describe`` and compared otherwise (``short_pairs``).
     """
     best, chosen = 5.0 * (low + top) / 2, (0, 0)
     base = need(top, middle)
@@ -120,7 +133,7 @@ def allocation(low: int, middle: int, top: int) -> tuple[int, int]:
                 p2 = x * (x - 1) / 2 / t**2 * (1 - 1 / t) ** max(0, x - 2)
                 one, two = 1 - p0, 2 - 2 * p0 - p1
                 spread = (t - q) * (one - one**2) + q * (p1 + 4 * (1 - p0 - p1) - two**2)
-                if (t - q) * one + q * two - 7 * max(0.0, spread) ** 0.5 < need(x, middle):
+                if (t - q) * one + q * two - SIGMAS * max(0.0, spread) ** 0.5 < need(x, middle):
                     fits = False
                     break
                 cost += (t * one + q * (x / t - p1) + 4 * (t * p1 + q * 2 * p2)) / 3
@@ -129,47 +142,66 @@ def allocation(low: int, middle: int, top: int) -> tuple[int, int]:
     return chosen
 
 
+
+
 class Signer:
     """Signatures of a chunk of sets in the groups of bands they belong to."""
 
     def __init__(self):
         self.tops = edges_of_bands(1 << 16)
 
-    def group(self, size: int, lower: bool) -> tuple[int, int, int, int] | None:
-        """(group, segments, deletions, need) for the group that a set's band begins, or the one that it ends."""
-        if size > self.tops[-1]:
-            self.tops = edges_of_bands(size * 2)
+    def group(self, size: int, lower: bool) -> tuple[int, int, int, int, int] | None:
+        """(group, segments, deletions, need, most) for the group that a set's band begins, or the one that it ends.
+
+        ``need`` holds for the set as the larger of a pair, ``most`` for either.
+        """
+        while size * 2 > self.tops[-1]:
+            self.tops = edges_of_bands(size * 4)
         band = int(np.searchsorted(self.tops, size))  # sizes tops[band-1]+1 .. tops[band]
         g = band - 1 if lower else band
         if g < 1:
             return None
-        if g + 1 >= len(self.tops):
-            self.tops = edges_of_bands(self.tops[-1] * 2)
         low, middle, top = self.tops[g - 1] + 1, self.tops[g], self.tops[g + 1]
         t, q = allocation(low, middle, top)
-        return g, t, q, need(size, middle)
-
-    def sign(self, sets: list[np.ndarray], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(index of set, signature, weight), sorted by set, and by set what its segments tolerate and what they must.
+        other = min(size, middle) if lower else min(top, size * DEN // NUM)
+        return g, t, q, need(size, middle), differences(size, other) + 1
 
-        The weight is what a segment tolerates less if the signature is not looked up.
-        """
+    def _segments(self, sets: list[np.ndarray], lower: bool):
+        """Of the sets that have a group: indexes, sizes, group, segments and deletions of each; shingles, their set and their segment."""
         info = [self.group(len(s), lower) if len(s) else None for s in sets]
         on = [i for i, x in enumerate(info) if x]
-        tolerated, wanted = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
-        if not on:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), tolerated, wanted
-        sizes = np.array([len(sets[i]) for i in on])
-        g, t, q, w = (np.array([info[i][k] for i in on]) for k in range(4))
-        h = np.concatenate([sets[i] for i in on])
+        sizes = np.array([len(sets[i]) for i in on], dtype=np.int64)
+        facts = [np.array([info[i][k] for i in on], dtype=np.int64) for k in range(5)]
+        h = np.concatenate([sets[i] for i in on]) if on else np.zeros(0, np.uint64)
         doc = np.repeat(np.arange(len(on)), sizes)
+        g, t = facts[0], facts[1]
         with np.errstate(over="ignore"):
             seed = mix(g.astype(np.uint64) * _C[0] + _U(11))[doc]
-            whole = t[doc] == 0
-            spread = np.where(whole, sizes[doc], np.maximum(t[doc], 1)).astype(np.uint64)
-            seg = ((mix(h ^ seed) >> _U(32)) * spread) >> _U(32)
-            first = np.cumsum(sizes) - sizes
-            seg = np.where(whole, np.arange(len(h)) - first[doc], seg.astype(np.int64))
+            spread = np.maximum(t[doc], 1).astype(np.uint64)
+            seg = (((mix(h ^ seed) >> _U(32)) * spread) >> _U(32)).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        return on, sizes, facts, h, doc, np.where(t[doc] == 0, np.arange(len(h)) - first[doc], seg)
+
+    def tolerances(self, sets: list[np.ndarray], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+        """By set: what its segments tolerate beyond what any pair may need, and beyond what it needs as the larger one."""
+        slack, short = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+        on, sizes, (_, t, q, least, most), _, doc, seg = self._segments(sets, lower)
+        if on:
+            count = np.where(t == 0, sizes, t)
+            at = np.cumsum(count) - count
+            many = np.bincount(at[doc] + seg, minlength=int(count.sum()))
+            owner = np.repeat(np.arange(len(on)), count)
+            double = (np.arange(len(many)) - at[owner] < q[owner]) & (many >= 2)
+            has = np.bincount(owner, (many > 0) + double.astype(np.int64), len(on)).astype(np.int64)
+            slack[on], short[on] = has - most, has - least
+        return slack, short
+
+    def sign(self, sets: list[np.ndarray], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of set, signature, weight), sorted by set. The weight is what a segment tolerates less if the signature is not looked up."""
+        on, sizes, (g, t, q, _, _), h, doc, seg = self._segments(sets, lower)
+        if not on:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
             count = np.where(t == 0, sizes, t)
             key = (np.cumsum(count) - count)[doc] + seg
             order = np.argsort(key, kind="stable")
@@ -185,22 +217,17 @@ class Signer:
             part = np.repeat(np.arange(len(start)), many)
             more = double[part]
             deleted = mix(total[part[more]] - u[more] + salt[part[more]])
-        np.add.at(tolerated, np.array(on)[d], np.where(double, 2, 1))
-        wanted[on] = w
-        docs, signatures = np.r_[d, part_doc] if (part_doc := doc[more]).size else d, np.r_[exact, deleted]
+        docs, signatures = np.r_[d, doc[more]], np.r_[exact, deleted]
         weight = np.r_[np.where(double, 2, 1), np.ones(len(deleted), np.int64)].astype(np.uint64)
         order = np.argsort(docs, kind="stable")
-        return np.array(on)[docs[order]], signatures[order], weight[order], tolerated, wanted
+        return np.array(on)[docs[order]], signatures[order], weight[order]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(ids, texts) of at most about ``CHUNK`` characters; ids come with the component where there is one."""
+    """(ids, texts) of at most about ``CHUNK`` characters."""
     ids, texts, size = [], [], 0
     for b in batches:
-        keys = b.column(0).to_pylist()
-        if b.num_columns > 2:
-            keys = list(zip(keys, b.column(2).to_pylist(), strict=True))
-        for i, t in zip(keys, b.column(1), strict=True):
+        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             t = t.as_py()
             ids.append(i)
             texts.append(t)
@@ -225,64 +252,101 @@ def parities(s: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, f1, f2, odd``: the set's size, a 128-bit sum over it and its parities, from columns doc_id and text."""
+    """``doc_id, n, f1, f2, odd, slack0, slack1, short`` from columns doc_id and text.
+
+    The set's size, a 128-bit sum over it, its parities, what its segments
+    tolerate beyond need in the group that its band begins and in the one that
+    it ends, and whether they tolerate less than the set needs.
+    """
+    fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("odd", pa.list_(pa.int64())), ("slack0", pa.int64()), ("slack1", pa.int64()), ("short", pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, signer = Shingler(), Signer()
         for ids, texts in _chunks(batches):
-            n, f, odd = [], [], []
-            for t in texts:
-                s = shingler.set(t)
-                n.append(len(s))
-                odd.append(parities(s))
-                with np.errstate(over="ignore"):
-                    f.append((int(s.sum(dtype=np.uint64)), int(mix(s + _C[2]).sum(dtype=np.uint64))))
-            x = np.array(f, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "n", "f1", "f2", "odd"])
+            sets = [shingler.set(t) for t in texts]
+            x = np.array([sums(s) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            (slack0, short0), (slack1, short1) = (signer.tolerances(sets, lower) for lower in (False, True))
+            columns = [ids, [len(s) for s in sets], x[:, 0], x[:, 1], [parities(s) for s in sets], slack0, slack1, (short0 < 0) | (short1 < 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, odd array<long>, slack0 long, slack1 long, short boolean")
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, odd array<long>")
+
+def sums(s: np.ndarray) -> tuple[int, int]:
+    with np.errstate(over="ignore"):
+        return int(s.sum(dtype=np.uint64)), int(mix(s + _C[2]).sum(dtype=np.uint64))
+
+
+#: Weight of an entry whose list was told by the chunk that it stands for.
+TOLD = 3
+PACKED = "bucket int, lower int, ids binary, counts binary, low binary, high binary, rows binary"
+#: What a bucket gives: kind 0, a pair of sets a and b; kind 1, the set b in the list a with a weight in the group that its band begins (lower 0) or ends.
+FOUND = "kind int, a long, b long, weight int, lower int"
+_ROW = np.dtype([("kind", "<i4"), ("a", "<i8"), ("b", "<i8"), ("weight", "<i4"), ("lower", "<i4")])
+
+
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray | int = 0, lower: np.ndarray | int = 0) -> np.ndarray:
+    out = np.zeros(len(a), _ROW)
+    out["kind"], out["a"], out["b"], out["weight"], out["lower"] = kind, a, b, weight, lower
+    return out
 
 
 def signatures(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed signatures by bucket, from columns doc_id, text and perhaps c, the component.
+    """Packed signatures by bucket, from columns doc_id and text.
 
-    With c, sets go by their ``doc_id``. Without, they go by their ``f1``, so
-    copies are one set wherever they are; a partition signs them once.
+    Sets go by their first sum, so copies are one set wherever they are; a
+    partition signs them once. Sets of a chunk that share a signature are
+    combined before the shuffle: the first stands for the others, whose pairs
+    with it and places in the list travel as they are, to any bucket. So a
+    list has an entry a chunk at most, however many sets have the signature.
     """
-    placed = "c" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer, seen = Shingler(), Signer(), set()
-        for ids, texts in _chunks(batches):
+        for _, texts in _chunks(batches):
             keep, sets = [], []
-            for i, t in zip(ids, texts, strict=True):
+            for t in texts:
                 s = shingler.set(t)
-                if not len(s):
-                    continue
-                mark = (int(s.sum(dtype=np.uint64)), len(s))
-                if placed or mark not in seen:
+                mark = (*sums(s), len(s))
+                if len(s) and mark not in seen:
                     seen.add(mark)
-                    keep.append(i if placed else (np.uint64(mark[0]).view(np.int64), 0))
+                    keep.append(mark[0])
                     sets.append(s)
-            owner, component = np.array(keep, dtype=np.int64).reshape(-1, 2).T
-            rows: list[tuple] = []
-            for lower in (False, True):
-                d, sig, weight, has, must = signer.sign(sets, lower)
-                slack = (has - must).astype("<i4")
-                bucket = ((sig >> _U(44)) % _U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                d, sig, weight, bucket = d[order], sig[order], weight[order], bucket[order]
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                for k in np.flatnonzero(np.diff(cut)):
-                    dd, ss, ww = d[cut[k] : cut[k + 1]], sig[cut[k] : cut[k + 1]], weight[cut[k] : cut[k + 1]]
-                    at = np.flatnonzero(np.r_[True, dd[1:] != dd[:-1]])
-                    low, high = (ss & _U(0xFFFFFFFF)).astype("<u4"), ((ss >> _U(32)) & _U(0x3F) | ww << _U(6)).astype("u1")
-                    rows.append((int(k), int(lower), owner[dd[at]].tobytes(), component[dd[at]].tobytes() if placed else b"", slack[dd[at]].tobytes() if placed else b"", np.diff(np.r_[at, len(dd)]).astype("<u4").tobytes(), low.tobytes(), high.tobytes()))
-            if rows:
-                kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "lower", "ids", "comps", "slacks", "counts", "low", "high"])
-
-    return docs.mapInArrow(run, "bucket int, lower int, ids binary, comps binary, slacks binary, counts binary, low binary, high binary")
+            name = np.array(keep, dtype=np.uint64).view(np.int64)
+            out: list[tuple] = []
+            both = [signer.sign(sets, lower) for lower in (False, True)]
+            lower = np.repeat([0, 1], [len(x[0]) for x in both])
+            d, sig, weight = (np.concatenate([x[k] for x in both]) for k in range(3))
+            bucket = ((sig >> _U(LOW_BITS)) % _U(buckets)).astype(np.int64)
+            sig &= _U((1 << LOW_BITS) - 1)
+            # sets that meet within the chunk
+            order = np.lexsort((name[d], sig, bucket))
+            d, sig, weight, bucket, lower = (x[order] for x in (d, sig, weight, bucket, lower))
+            start = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (sig[1:] != sig[:-1])][: len(d)])
+            many = np.diff(np.r_[start, len(d)])
+            meet = np.repeat(many > 1, many)
+            if meet.any():
+                number, sets_here = (bucket << LOW_BITS | sig.astype(np.int64))[meet], name[d[meet]]
+                a, b = unique_pairs(np.repeat(name[d[start]], many)[meet], sets_here)
+                told = np.concatenate([_rows(0, a, b), _rows(1, number, sets_here, weight[meet], lower[meet])])
+                out.append((hash((keep[0], len(keep))) % buckets, 0, b"", b"", b"", b"", told.tobytes()))
+            weight = np.where(meet, _U(TOLD), weight)
+            stays = np.zeros(len(d), bool)
+            stays[start] = True
+            d, sig, weight, bucket, lower = (x[stays] for x in (d, sig, weight, bucket, lower))
+            order = np.lexsort((d, lower, bucket))
+            d, sig, weight, bucket, lower = (x[order] for x in (d, sig, weight, bucket, lower))
+            cut = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (lower[1:] != lower[:-1])][: len(d)])
+            for i, j in zip(cut, np.r_[cut[1:], len(d)], strict=True):
+                dd, ss, ww = d[i:j], sig[i:j], weight[i:j]
+                at = np.flatnonzero(np.r_[True, dd[1:] != dd[:-1]])
+                low, high = (ss & _U(0xFFFFFFFF)).astype("<u4"), ((ss >> _U(32)) | ww << _U(6)).astype("u1")
+                out.append((int(bucket[i]), int(lower[i]), name[dd[at]].tobytes(), np.diff(np.r_[at, len(dd)]).astype("<u4").tobytes(), low.tobytes(), high.tobytes(), b""))
+            if out:
+                kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in PACKED.split(", ")])
+
+    return docs.mapInArrow(run, PACKED)
 
 
 def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,83 +358,36 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-def _lists(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """(list, id, component, weight, slack, lower) of the sets in lists of two or more, sorted.
-
-    Several sets of one id count as one with the largest weight and the least slack in each of both groups.
-    """
-    counts = [np.frombuffer(c, "<u4") for c in group["counts"]]
-    ids, comps, slack = (np.concatenate([np.repeat(np.frombuffer(i, kind), c) if i else np.zeros(c.sum(), kind) for i, c in zip(group[name], counts, strict=True)]) for name, kind in (("ids", "<i8"), ("comps", "<i8"), ("slacks", "<i4")))
-    high = np.concatenate([np.frombuffer(x, "u1") for x in group["high"]]).astype(np.uint64)
-    sig = np.concatenate([np.frombuffer(x, "<u4") for x in group["low"]]).astype(np.uint64) | (high & _U(0x3F)) << _U(32)
-    lower = np.repeat(group["lower"].to_numpy(), [len(x) for x in group["high"]])
-    order = np.argsort(sig, kind="stable")
-    start = np.flatnonzero(np.r_[True, (x := sig[order])[1:] != x[:-1]])
-    many = np.diff(np.r_[start, len(sig)])
-    run, kept = np.repeat(np.arange(len(start)), many), np.repeat(many > 1, many)
-    order, run = order[kept], run[kept]
-    ids, comps, weight, slack, lower = ids[order], comps[order], (high[order] >> _U(6)).astype(np.int64), slack[order], lower[order]
-    order = np.lexsort((lower, ids, comps, run))
-    run, ids, comps, weight, slack, lower = (x[order] for x in (run, ids, comps, weight, slack, lower))
-    new = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (ids[1:] != ids[:-1]) | (lower[1:] != lower[:-1])][: len(run)])
-    if len(new):
-        weight, slack = np.maximum.reduceat(weight, new), np.minimum.reduceat(slack, new)
-    return run[new], ids[new], comps[new], weight, slack, lower[new]
-
-
-def _starts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of equal values start, and their lengths."""
-    start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
-    return start, np.diff(np.r_[start, len(x)])
-
-
-def _stars(group: pd.DataFrame) -> pd.DataFrame:
-    """The first set of each list with each other one; kind 1 if the list has more than two."""
-    run, ids, *_ = _lists(group)
-    start, many = _starts(run)
-    pivot, long = np.repeat(ids[start], many), np.repeat(many > 2, many)
-    a, b = unique_pairs(pivot[long], ids[long])
-    c, d = unique_pairs(pivot[~long], ids[~long])
-    return pd.DataFrame({"kind": np.repeat(np.array([1, 0], np.int32), [len(a), len(c)]), "a": np.r_[a, c], "b": np.r_[b, d]})
-
-
-def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """What one bucket says about sets of different components. kind 0: a pair. kind 1: first set and another one of a long list.
-    kinds 2 and 3: set a lost weight b, of which slack does no harm, to long lists in the group that its band begins, or ends."""
-    run, ids, comps, weight, slack, lower = _lists(group)
-    start, many = _starts(run)
-    block = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (comps[1:] != comps[:-1])][: len(run)])
-    size = np.diff(np.r_[block, len(run)])
-    # sets of later components in the same list
-    after = np.repeat(block + size, size)
-    later = np.repeat(start + many, many) - after
-    long = np.repeat((np.add.reduceat(later, start) if len(start) else many) > PER_MEMBER * many, many)
-    several = np.repeat((np.add.reduceat(later, start) if len(start) else many) > 0, many)
-    make = np.flatnonzero(~long & (later > 0))
-    total = np.cumsum(later[make])
-    pairs = [(ids[:0], ids[:0])]
-    for part in np.split(make, np.flatnonzero(np.diff(total // SLICE)) + 1):
-        n = later[part]
-        ends = np.cumsum(n)
-        right = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(after[part], n)
-        pairs.append(unique_pairs(np.repeat(ids[part], n), ids[right]))
-    a, b = unique_pairs(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
-    long &= several
-    parts = [(a, b, 0), (*unique_pairs(np.repeat(ids[start], many)[long], ids[long]), 1)]
-    slacks = [np.zeros(sum(len(x) for x, _, _ in parts), np.int64)]
-    for k in (0, 1):
-        on = long & (lower == k)
-        who, at = np.unique(ids[on], return_inverse=True)
-        parts.append((who, np.bincount(at, weight[on], len(who)), 2 + k))
-        least = np.full(len(who), np.iinfo(np.int64).max)
-        np.minimum.at(least, at, slack[on])
-        slacks.append(least)
-    return pd.DataFrame({"kind": np.concatenate([np.full(len(x), k, np.int32) for x, _, k in parts]), "a": np.concatenate([x for x, _, _ in parts]), "b": np.concatenate([y for _, y, _ in parts]).astype(np.int64), "slack": np.concatenate(slacks).astype(np.int64)})
-
-
-def possible(pairs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
-    """The pairs of smallest keys that sizes and parities do not rule out; ``pairs`` name sets by ``key`` and keep their kind."""
-    l, r = (classes.select(F.col(key).alias(x), F.col("rep").alias(f"rep{k}"), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"odd{k}")) for k, x in ((1, "a"), (2, "b")))  # noqa: E741
+def _lists(group: pd.DataFrame) -> pd.DataFrame:
+    """The lists of one bucket: the first set of each with each other one, and the sets of lists that are not told yet."""
+    told = [np.frombuffer(x, _ROW) for x in group["rows"] if x]
+    group = group[group["low"].str.len() > 0]
+    out = [np.zeros(0, _ROW), *told]
+    if len(group):
+        counts = [np.frombuffer(c, "<u4") for c in group["counts"]]
+        ids = np.concatenate([np.repeat(np.frombuffer(i, "<i8"), c) for i, c in zip(group["ids"], counts, strict=True)])
+        high = np.concatenate([np.frombuffer(x, "u1") for x in group["high"]]).astype(np.int64)
+        sig = np.concatenate([np.frombuffer(x, "<u4") for x in group["low"]]).astype(np.int64) | (high & 0x3F) << 32
+        lower = np.repeat(group["lower"].to_numpy(), [len(x) for x in group["high"]])
+        weight, bucket = high >> 6, int(group["bucket"].iloc[0])
+        # entries of one set, from several partitions, count once, told if one of them is
+        order = np.lexsort((weight, ids, sig))
+        order = order[np.r_[(sig[order][1:] != sig[order][:-1]) | (ids[order][1:] != ids[order][:-1]), True]]
+        ids, sig, weight, lower = ids[order], sig[order], weight[order], lower[order]
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        many = np.diff(np.r_[start, len(sig)])
+        shared = np.repeat(many > 1, many)
+        out.append(_rows(0, *unique_pairs(np.repeat(ids[start], many)[shared], ids[shared])))
+        # a list of two is no more than its pair, unless an entry stands for others
+        some = np.repeat(np.maximum.reduceat(weight, start) == TOLD, many)
+        fresh = shared & (weight != TOLD) & (np.repeat(many > 2, many) | some)
+        out.append(_rows(1, sig[fresh] | bucket << LOW_BITS, ids[fresh], weight[fresh], lower[fresh]))
+    return pd.DataFrame.from_records(np.concatenate(out))
+
+
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of smallest keys that sizes and parities do not rule out, from ``pairs`` of first sums."""
+    l, r = (classes.select(F.col("f1").alias(x), F.col("f2").alias(f"g{k}"), F.col("rep").alias(f"rep{k}"), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"odd{k}")) for k, x in ((1, "a"), (2, "b")))  # noqa: E741
 
     def folded(x: str, other: str) -> Column:
         half = (F.size(x) / 2).cast("int")
@@ -380,14 +397,12 @@ def possible(pairs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     differ = F.aggregate(F.zip_with(folded("odd1", "odd2"), folded("odd2", "odd1"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     close = (F.col("n1") * NUM <= F.col("n2") * DEN) & (F.col("n2") * NUM <= F.col("n1") * DEN)
     close = close & (differ * (DEN + NUM) <= (F.col("n1") + F.col("n2")) * (DEN - NUM))
-    out = pairs.join(r, "b").join(l, "a").filter("rep1 <> rep2")
-    return out.select("kind", F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"), close.alias("close"))
+    out = pairs.join(r, "b").join(l, "a").filter(F.col("rep1") != F.col("rep2")).filter(close)
+    return out.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    pairs = materialize(pairs)
-    docs = _fetch(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
@@ -414,63 +429,132 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long").distinct()
 
 
-def _fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def fetch(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of ``docs`` with one of ``ids`` (column doc_id), written once for several uses.
 
     The ids are written first, so that Spark knows their size: it broadcasts
     them below ``spark.sql.autoBroadcastJoinThreshold``, and shuffles the
     texts only beyond it.
     """
-    return materialize(docs.join(materialize(ids.distinct()), "doc_id", "left_semi"))
+    return scratch.keep(docs.join(scratch.keep(ids.distinct()), "doc_id", "left_semi"))
 
 
-def residual(candidates: DataFrame, texts: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """Pairs that only long lists could have shown, or None.
+def short_pairs(classes: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Pairs of the sets whose segments tolerate too little with all sets of their sizes, or None. About one set in 10^12 is such."""
+    band = F.floor(F.log("n") / F.log(F.lit(1.5))).cast("int")
+    some = scratch.keep(classes.filter("short").select(F.col("f1").alias("a"), F.explode(F.array(band - 1, band, band + 1)).alias("band")))
+    if not some.limit(1).count():
+        return None
+    return some.join(classes.select(F.col("f1").alias("b"), band.alias("band")), "band").select("a", "b")
 
-    A pair is found without them unless its larger set relied on them; such
-    sets and the other ones of their lists are joined by a prefix filter,
-    rarest shingle first. Each different text of a ``doc_id`` is a set of its
-    own there, known by ``doc_id`` and a hash of the text.
-    """
-    stars = materialize(candidates.filter("kind = 1").select("a", "b").distinct())
-    # the lists of one group (kind 2 or 3) tell a set's slack, each the same; of several sets of one id the least counts, against what all lost
-    lost = candidates.filter("kind >= 2").groupBy(F.col("a").alias("o"), "kind").agg(F.sum("b").alias("lost"), F.min("slack").alias("slack"))
-    relying = materialize(lost.filter("lost > slack").select("o").distinct())
 
-    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler()
-        for f in frames:
-            for i in range(0, len(f), 256):
-                part = f.iloc[i : i + 256]
-                sets = [shingler.set(t) for t in part["text"]]
-                n = [len(s) for s in sets]
-                yield pd.DataFrame({"doc_id": np.repeat(part["doc_id"].to_numpy(), n), "set": np.repeat(part["set"].to_numpy(), n), "n": np.repeat(n, n), "open": np.repeat(part["open"].to_numpy(), n), "h": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)})
+def list_members(places: DataFrame, labels: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``around, x, component``: the documents of lists that sets of several components keep, by the lists' main component.
 
-    if not relying.limit(1).count():
-        return None
-    states = relying.select(F.col("o").alias("doc_id"), F.lit(True).alias("open"))
-    # the first sets of the lists that such a set relied on, and all sets of those lists
-    firsts = stars.join(relying, F.col("a") == F.col("o"), "left_semi").unionByName(stars.join(relying, F.col("b") == F.col("o"), "left_semi"))
-    firsts = materialize(firsts.select(F.explode(F.array("a", "b")).alias("p")).distinct())
-    near = stars.join(firsts, F.col("a") == F.col("p"), "left_semi").unionByName(stars.join(firsts, F.col("b") == F.col("p"), "left_semi"))
-    near = near.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    # repeated rows are one set
-    chosen = _fetch(texts, near).select("doc_id", "text").distinct().join(states, "doc_id", "left")
-    chosen = chosen.select("doc_id", F.xxhash64("text").alias("set"), "text", F.coalesce("open", F.lit(False)).alias("open"))
-    shingles = materialize(chosen.mapInPandas(explode, "doc_id long, set long, n long, open boolean, h long"))
-    often = materialize(shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
-    ranked = shingles.join(often, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("doc_id", "set").orderBy("df", "h"))
-    prefix = ranked.withColumn("place", place).filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1) & (F.col("df") > 1))
-    prefix = prefix.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n", "open", "h", F.coalesce("component", "doc_id").alias("c"))
-    prefix = materialize(prefix)
-    apart = prefix.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
-    prefix = materialize(prefix.join(apart, "h", "left_semi"))
-    l, r = (prefix.select("h", *[F.col(c).alias(f"{c}{k}") for c in ("doc_id", "n", "open", "c")]) for k in (1, 2))  # noqa: E741
-    close = (F.col("doc_id1") < F.col("doc_id2")) & (F.col("c1") != F.col("c2")) & F.when(F.col("n1") > F.col("n2"), F.col("open1")).when(F.col("n1") < F.col("n2"), F.col("open2")).otherwise(F.col("open1") & F.col("open2"))
-    close &= (F.col("n1") * NUM <= F.col("n2") * DEN) & (F.col("n2") * NUM <= F.col("n1") * DEN)
-    pairs = l.join(r, "h").filter(close).select(F.lit(4).alias("kind"), F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct()
-    return verify(possible(pairs, classes, "rep").filter("close").select("a", "b"), texts)
+    ``places`` has the sets b of lists a with their weights. A set drops its
+    longest lists as long as their weights stay within its slack; two similar
+    sets still meet in the shortest of the lists they share, as all go by one
+    order. Lists whose sets are mostly of one component are taken together.
+    """
+    sets = classes.select(F.col("f1").alias("b"), "rep", "slack0", "slack1").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    sets = scratch.keep(sets.select("b", "rep", "slack0", "slack1", F.coalesce("component", "rep").alias("component")))
+    # different sets of one sum go together, with the least slack
+    names = sets.groupBy("b").agg(*[F.min(c).alias(c) for c in ("slack0", "slack1")], F.min("component").alias("lo"), F.max("component").alias("hi"))
+    rows = places.groupBy("a", "b", "lower").agg(F.max("weight").alias("weight")).join(names, "b")
+    rows = scratch.keep(rows.select("a", "b", "lower", "weight", "lo", "hi", F.when(F.col("lower") == 0, F.col("slack0")).otherwise(F.col("slack1")).alias("slack")))
+    lists = rows.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi AND m > 2")
+    longest_first = Window.partitionBy("b", "lower").orderBy(F.col("m").desc(), "a").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = rows.select("a", "b", "lower", "weight", "slack").join(lists.select("a", "m"), "a").withColumn("used", F.sum("weight").over(longest_first))
+    kept = scratch.keep(kept.filter("used > slack").select("a", "b").join(sets.select("b", "rep", "component"), "b").select("a", F.col("rep").alias("x"), "component"))
+    main = kept.groupBy("a", "component").count().groupBy("a").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("around"), F.count(F.lit(1)).alias("several"))
+    return scratch.keep(kept.join(main.filter("several > 1"), "a").select("around", "x", "component").distinct())
+
+
+def _fold(odd: np.ndarray, words: int) -> np.ndarray:
+    """Parities of fewer classes from those of more, as rows."""
+    while odd.shape[1] > words:
+        half = odd.shape[1] // 2
+        odd = odd[:, :half] ^ odd[:, half:]
+    return odd
+
+
+def _pairs_within(rows: list[tuple], others: list[tuple] | None) -> list[tuple[int, int]]:
+    """Links that connect all components with similar sets among ``rows``, or between ``rows`` and ``others``; rows are (x, component, text)."""
+    shingler, parent = Shingler(), {}
+
+    def find(c):
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    def prepared(part):
+        sets = [shingler.set(t) for _, _, t in part]
+        by_words: dict[int, list[int]] = {}
+        odds = [parities(s).view(np.uint64) for s in sets]
+        for i, o in enumerate(odds):
+            by_words.setdefault(len(o), []).append(i)
+        return sets, np.array([len(s) for s in sets]), np.array([c for _, c, _ in part]), [(k, np.array(v), np.array([odds[i] for i in v])) for k, v in by_words.items()]
+
+    mine = prepared(rows)
+    other = prepared(others) if others is not None else mine
+    found = []
+    for k, ii, left in mine[3]:
+        for m, jj, right in other[3]:
+            if max(k, m) > 2 * min(k, m) or (others is None and m < k):
+                continue
+            words = min(k, m)
+            a, b = _fold(left, words), _fold(right, words)
+            step = max(1, SLICE // len(b))
+            for at in range(0, len(a), step):
+                i, n = ii[at : at + step], mine[1][ii[at : at + step]][:, None]
+                both = n + other[1][jj][None, :]
+                ok = (mine[2][i][:, None] != other[2][jj][None, :]) & (n * NUM <= other[1][jj][None, :] * DEN) & (other[1][jj][None, :] * NUM <= n * DEN)
+                if not ok.any():
+                    continue
+                differ = np.zeros(ok.shape, np.int64)
+                for w in range(words):
+                    differ += np.bitwise_count(a[at : at + step, None, w] ^ b[None, :, w])
+                for p, q in zip(*np.nonzero(ok & (differ * (DEN + NUM) <= both * (DEN - NUM))), strict=True):
+                    p, q = i[p], jj[q]
+                    c, d = find(mine[2][p]), find(other[2][q])
+                    if c == d:
+                        continue
+                    x, y = mine[0][p], other[0][q]
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    if DEN * same >= NUM * (len(x) + len(y) - same):
+                        parent[max(c, d)] = min(c, d)
+                        found.append((rows[p][0], (others or rows)[q][0]))
+    return found
+
+
+def compare_blocks(members: DataFrame, texts: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between documents of different components that are around the same one.
+
+    They are dealt into blocks of about ``BLOCK`` shingles, the documents of
+    that component apart. Two blocks, or one, are a task, but for two of the
+    component itself; it gives no more links than it takes to connect what it
+    has. No pairs are made as rows.
+    """
+    n = classes.groupBy(F.col("rep").alias("x")).agg(F.sum("n").alias("n"))
+    members = scratch.keep(members.join(n, "x").withColumn("home", F.col("component") == F.col("around")))
+    blocks = lambda c: F.ceil(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) / BLOCK).cast("int")
+    sizes = members.groupBy("around").agg(blocks(~F.col("home")).alias("others"), blocks(F.col("home")).alias("homes"))
+    placed = members.join(sizes.filter("others > 0"), "around")
+    own = F.pmod(F.xxhash64("x", "around"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("others"))).cast("int")
+    placed = placed.withColumn("own", F.when(F.col("home"), own + F.col("others")).otherwise(own))
+    # a block is the first one in tasks with itself and later ones, the second one in those with earlier ones
+    first = F.when(F.col("home"), F.array().cast("array<int>")).otherwise(F.sequence(F.col("own"), F.col("others") + F.col("homes") - 1))
+    earlier = F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda i: i < F.col("own"))
+    task = F.concat(F.transform(first, lambda j: F.struct(F.col("own").alias("i"), j.alias("j"))), F.transform(earlier, lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
+    placed = placed.withColumn("task", F.explode(task)).select("around", "task.i", "task.j", "own", "component", F.col("x").alias("doc_id"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        sides = [list(group.loc[group["own"] == k, ["doc_id", "component", "text"]].itertuples(index=False, name=None)) for k in (i, j)]
+        got = _pairs_within(sides[0], None if i == j else sides[1]) if sides[0] and sides[1] else []
+        return pd.DataFrame(sorted((min(p), max(p)) for p in got), columns=["a", "b"], dtype="int64")
+
+    return placed.join(texts, "doc_id").groupBy("around", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -485,45 +569,37 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     of comparisons in proportion to their members.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    facts = materialize(describe(base))
-    total = facts.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000 + 1)
-    classes = facts.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("odd").alias("odd"))
-    classes = materialize(classes)
-    known = base.filter(F.col("doc_id").isNotNull())
-    # one set of each list with the others
-    stars = signatures(known, buckets).groupBy("bucket").applyInPandas(_stars, "kind int, a long, b long")
-    stars = possible(stars.groupBy("a", "b").agg(F.max("kind").alias("kind")), classes, "f1")
-    stars = materialize(stars.groupBy("a", "b").agg(F.max("kind").alias("kind"), F.first("close").alias("close")))
-    pairs = stars.filter("close").select("a", "b")
-    links = materialize(verify(pairs, known))
-    labels = components(links)
-    # sets of lists that still have several components
-    for c in ("a", "b"):
-        stars = stars.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
-    stars = materialize(stars.filter("kind = 1").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
-    mixed = materialize(stars.filter("ca <> cb").select(F.explode(F.array("a", "b")).alias("p")).distinct())
-    # either end may have been the first set, as the pairs are ordered by smallest key
-    touched = stars.join(mixed, F.col("a") == F.col("p"), "left_semi").unionByName(stars.join(mixed, F.col("b") == F.col("p"), "left_semi"))
-    touched = materialize(touched.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("ca").alias("c")), F.struct(F.col("b").alias("doc_id"), F.col("cb").alias("c")))).alias("x")).select("x.*").distinct())
-    if mixed.limit(1).count():
-        # a repeated key shares one set of links, so each of its texts is signed
-        texts = materialize(known.join(touched, "doc_id").select("doc_id", "text", "c"))
-        candidates = materialize(signatures(texts, buckets).groupBy("bucket").applyInPandas(_across, "kind int, a long, b long, slack long"))
-        new = possible(candidates.filter("kind = 0").select("kind", "a", "b").distinct(), classes, "rep").filter("close").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        texts = texts.select("doc_id", "text")
-        links = links.unionByName(materialize(verify(new, texts)))
-        labels = components(links)
-        more = residual(candidates, texts, classes, labels)
-        if more is not None:
-            labels = components(links.unionByName(materialize(more)))
-    reps = facts.filter("n > 0").join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct()
-    found = labels.select(F.col("node").alias("rep"), "component")
-    groups = reps.join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c")).unionByName(found.select(F.col("rep").alias("doc_id"), F.col("component").alias("c")))
-    groups = materialize(groups.groupBy("doc_id").agg(F.min("c").alias("c")))
-    out = facts.join(groups, "doc_id", "left")
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    scratch = Scratch()
+    try:
+        base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        facts = scratch.keep(describe(base))
+        total = facts.agg(F.sum("n")).first()[0] or 0
+        buckets = min(1 << 24, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000 + 1))
+        known = base.filter(F.col("doc_id").isNotNull())
+        classes = facts.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("odd", "slack0", "slack1", "short")])
+        classes = scratch.keep(classes)
+        found = scratch.keep(signatures(known, buckets).groupBy("bucket").applyInPandas(_lists, FOUND))
+        pairs = found.filter("kind = 0").select("a", "b").distinct()
+        short = short_pairs(classes, scratch)
+        # different sets of one sum meet here too
+        twins = classes.groupBy("f1").count().filter("count > 1").select(F.col("f1").alias("a"), F.col("f1").alias("b"))
+        pairs = pairs.unionByName(twins) if short is None else pairs.unionByName(twins).unionByName(short)
+        pairs = scratch.keep(possible(pairs, classes))
+        texts = fetch(known, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), scratch)
+        links = scratch.keep(verify(pairs, texts))
+        labels = components(links, scratch=scratch)
+        members = list_members(found.filter("kind = 1").select("a", "b", "weight", "lower"), labels, classes, scratch)
+        texts = fetch(known, members.select(F.col("x").alias("doc_id")), scratch)
+        more = scratch.keep(compare_blocks(members, texts, classes, scratch))
+        labels = components(links.unionByName(more), scratch=scratch)
+        reps = facts.filter("n > 0").select("doc_id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).filter("doc_id <> rep").select("doc_id", "rep").distinct()
+        label = labels.select(F.col("node").alias("rep"), "component")
+        groups = reps.join(label, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c")).unionByName(label.select(F.col("rep").alias("doc_id"), F.col("component").alias("c")))
+        # a key with several texts joins their components
+        out = facts.select("doc_id", "n").join(groups.groupBy("doc_id").agg(F.min("c").alias("c")), "doc_id", "left")
+        return materialize(out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id")))
+    finally:
+        scratch.clear()
 
 
 def op5_universe_partition_join(spark, sf_dir: str) -> DataFrame:

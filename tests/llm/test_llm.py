@@ -60,34 +60,82 @@ def test_jaccard_long_sets_of_different_classes(spark):
     assert got == brute_groups(rows) and got[2][1] == got[3][1] == 1
 
 
-def test_jaccard_residual_with_repeated_rows(spark):
-    # 343 of 457 shingles are shared, so only the full prefix of 101 shingles reaches one of them
-    def pair(name):
-        base = [f"{name}{i}" for i in range(404)]
-        return " ".join(base), " ".join(base[:347] + [f"{name}x{i}" for i in range(57)])
-
-    (a, b), (c, d), (e, f), (g, h) = map(pair, "abcd")
-    other = " ".join(f"y{i}" for i in range(404))
-    rows = [(1, a), (1, a), (1, a), (2, b), (2, b), (3, other), (3, c), (4, d), (5, e), (5, e.upper()), (5, e), (6, f), (6, f + " "), (7, g), (8, h)]
-    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    classes = jaccard.describe(texts).groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("odd").alias("odd"))
-    lists = [(1, 1, i, 0) for i in range(2, 9)] + [(k, i, 9, 0) for i in range(1, 9) for k in (2, 3)]
-    candidates = spark.createDataFrame(lists, "kind int, a long, b long, slack long")
-    labels = spark.createDataFrame([], "node long, component long")
-    sets = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, t in rows for w in [t.lower().split()]]
-    want = {(i, j) for i, x in sets for j, y in sets if i < j and 4 * len(x & y) >= 3 * len(x | y)}
-    got = [(x.a, x.b) for x in jaccard.residual(candidates, texts, classes, labels).collect()]
-    assert sorted(got) == sorted(want) == [(1, 2), (3, 4), (5, 6), (7, 8)]
-
-
-def test_jaccard_lists_of_ids_with_several_sets():
-    # id 7 is in the list twice with one group, and once with the other
-    def row(i, lower, slack, weight):
-        return (0, lower, np.array([i], "<i8").tobytes(), np.array([i], "<i8").tobytes(), np.array([slack], "<i4").tobytes(), np.array([1], "<u4").tobytes(), np.array([5], "<u4").tobytes(), np.array([weight << 6], "u1").tobytes())
-
-    group = pd.DataFrame([row(7, 0, 4, 1), row(7, 0, 1, 2), row(7, 1, 3, 1), row(8, 0, 2, 1)], columns=["bucket", "lower", "ids", "comps", "slacks", "counts", "low", "high"])
-    _, ids, _, weight, slack, lower = jaccard._lists(group)
-    assert list(zip(ids.tolist(), lower.tolist(), weight.tolist(), slack.tolist(), strict=True)) == [(7, 0, 2, 1), (7, 1, 1, 3), (8, 0, 1, 2)]
+def near_group(name, n, copies, seed):
+    """Copies of one text with edits of their own: some link with the text, some with each other only by chance."""
+    r, base = random.Random(seed), [f"{name}{i}" for i in range(n)]
+    for k in range(copies):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 4, 6, 8])):
+            at = r.randrange(len(w))
+            w[at : at + 1] = r.choice([[], [f"{name}x{k}{at}"], [w[at], f"{name}y{k}{at}"]])
+        yield " ".join(w)
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 3000])
+def test_jaccard_groups_with_outer_copies(spark, monkeypatch, block):
+    # long lists, several components in each; with small blocks, many tasks a list
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "CHUNK", 40_000)
+    texts = [t for g in range(4) for t in near_group(f"g{g}", (90, 150, 160, 40)[g], (150, 60, 40, 60)[g], g)]
+    rows = [(i * 7 % len(texts), t) for i, t in enumerate(texts)]
+    rows += rows[:5] + [(rows[3][0], rows[200][1])]  # repeated rows, and a key with two texts
+    got = {x.doc_id: x.component_id for x in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, t in rows for w in [t.split()]]
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = 0
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if 4 * len(x & y) >= 3 * len(x | y):
+                links += 1
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in parent} and links > 1000 and 10 < len(set(got.values())) < 200
+
+
+def test_jaccard_thousands_of_copies_of_one_text(spark):
+    texts = list(near_group("m", 100, 2000, 9))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in jaccard.similar_groups(df).collect()}
+    sets = [jaccard.Shingler().set(t) for t in texts]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = {h: k for k, h in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    on = np.zeros((len(sets), len(ids)), np.float32)
+    for i, s in enumerate(sets):
+        on[i, [ids[h] for h in s.tolist()]] = 1
+    both, n = on @ on.T, on.sum(1)
+    for i, j in zip(*np.nonzero(np.triu(7 * both >= 3 * (n[:, None] + n[None]), 1)), strict=True):
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in range(len(sets))}
+
+
+def test_jaccard_sets_whose_segments_come_out_short(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SIGMAS", -2)
+    jaccard.allocation.cache_clear()
+    try:
+        texts = [t for g in range(6) for t in near_group(f"s{g}", 60, 8, g)]
+        rows = list(enumerate(texts))
+        signer = jaccard.Signer()
+        assert any((signer.tolerances([jaccard.Shingler().set(t) for t in texts], lower)[1] < 0).any() for lower in (False, True))
+        wide = jaccard.describe
+        monkeypatch.setattr(jaccard, "signatures", lambda docs, buckets: spark.createDataFrame([], jaccard.PACKED))
+        monkeypatch.setattr(jaccard, "describe", lambda docs: wide(docs).withColumn("short", F.lit(True)))
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == brute_groups(rows)
+    finally:
+        jaccard.allocation.cache_clear()
 
 
 def test_jaccard_empty_and_null_keys(spark):
