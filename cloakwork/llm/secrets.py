@@ -1,19 +1,25 @@
 """Secret scan over an incremental blob ledger; DataFrame functions only.
 
-Every version of every path is content-addressed. A blob is scanned only for
-the rule versions that the ledger lacks, and findings are joined back to all
-paths that ever held the blob.
+Every version of every path is content-addressed. The ledger is a table of
+blobs, the rule versions that each was scanned for, and what was found. An
+update hashes the versions where they lie, compares the hashes with the
+ledger, and fetches and scans only blobs with unseen rule versions, each
+once. Findings are joined back from the ledger to all paths that hold a blob.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spans import unused
+from .storage import Scratch, shared_dir
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -72,60 +78,101 @@ def found(text: Column, rule: Rule) -> Column:
     return F.when(test, spans).otherwise(F.array().cast(SPANS))
 
 
-def scan(versions: DataFrame, text: str, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
-    """``(findings, entries)`` for the blobs in ``versions``.
+ENTRIES = f"blob binary, versions array<string>, found array<struct<version:string,spans:{SPANS}>>"
+ALL_SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
+#: Bytes of findings up to which they are sent to all executors; beyond it, both sides are shuffled.
+MAX_BROADCAST = 32 << 20
 
-    ``findings`` has one row per distinct text: ``blob`` (SHA-256) and
-    ``spans``, array of (start, ord, end, kind), code points, sorted by start
-    and rule order. ``entries`` are the ledger's new rows ``blob, rule,
-    version, spans``, one for each unseen blob and rule version. ``ledger``
-    holds such rows of earlier scans; their spans are reused. Null text is the
-    empty blob; an empty table gives empty results.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    blobs = versions.select(body.alias("body")).groupBy(F.sha2("body", 256).alias("blob")).agg(F.first("body").alias("body"))
-    known = F.lit(None).cast(f"map<string,{SPANS}>")
-    if ledger is not None:
-        wanted = [r.version for r in rules]
-        old = ledger.filter(F.col("version").isin(wanted)).dropDuplicates(["blob", "version"])
-        old = old.groupBy(F.col("blob").alias("_b")).agg(F.map_from_entries(F.collect_list(F.struct("version", "spans"))).alias("known"))
-        blobs = blobs.join(old, F.col("blob") == F.col("_b"), "left").drop("_b")
-        known = F.col("known")
-    results = []
-    for rule in rules:
-        had = known[rule.version] if ledger is not None else F.lit(None).cast(SPANS)
-        results.append(F.struct(had.isNull().alias("new"), F.coalesce(had, found(F.col("body"), rule)).alias("spans")).alias(rule.kind))
-    scanned = blobs.select("blob", *results)
-
-    def tagged(i: int, rule: Rule) -> Column:
-        return F.transform(
-            F.col(rule.kind)["spans"],
-            lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("ord"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")),
-        )
 
-    findings = scanned.select("blob", F.array_sort(F.concat(*[tagged(i, r) for i, r in enumerate(rules)])).alias("spans"))
-    entries = F.array(
-        *[
-            F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.col(r.kind)["new"].alias("new"), F.col(r.kind)["spans"].alias("spans"))
-            for r in rules
-        ]
-    )
-    new = scanned.select("blob", F.explode(F.filter(entries, lambda e: e["new"])).alias("e")).select("blob", "e.rule", "e.version", "e.spans")
-    return findings, new
+def address(text: Column) -> Column:
+    """SHA-256 of a text; null is the empty blob."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
 
+class Ledger:
+    """Blobs at ``path``: ``blob``, the ``versions`` of rules it was scanned for, and what was ``found`` by those that found anything.
 
-def join_back(versions: DataFrame, text: str, findings: DataFrame) -> DataFrame:
+    Each update appends one file set; nothing is rewritten, so an update that
+    fails half-way leaves the ledger as it was.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def exists(self) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def entries(self) -> DataFrame:
+        return self.spark.read.schema(ENTRIES).parquet(self.path) if self.exists() else self.spark.createDataFrame([], ENTRIES)
+
+    def unseen(self, versions: DataFrame, text: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+        """``blob, todo``: the versions of rules that blobs of ``versions`` were not scanned for. Only hashes are shuffled."""
+        wanted = F.lit([r.version for r in rules])
+        blobs = versions.select(address(F.col(text)).alias("blob")).distinct()
+        known = self.entries().join(blobs, "blob", "left_semi").groupBy("blob").agg(F.flatten(F.collect_list("versions")).alias("known"))
+        todo = F.coalesce(F.array_except(wanted, F.col("known")), wanted)
+        return blobs.join(known, "blob", "left").select("blob", todo.alias("todo")).filter(F.size("todo") > 0)
+
+    def update(self, versions: DataFrame, text: str, rules: Sequence[Rule] = RULES) -> None:
+        """Scans what is unseen of ``versions`` and appends it. An empty table appends nothing but an empty file set."""
+        wanted = F.lit([r.version for r in rules])
+        scratch = Scratch()
+        try:
+            if self.exists():
+                todo = scratch.keep(self.unseen(versions, text, rules))
+                bodies = versions.select(address(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(todo, "blob")
+                bodies = bodies.groupBy("blob").agg(F.first("body").alias("body"), F.first("todo").alias("todo"))
+            else:
+                # nothing is known, so nothing is to compare
+                bodies = versions.select(address(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+                bodies = bodies.groupBy("blob").agg(F.first("body").alias("body")).withColumn("todo", wanted)
+            none = F.array().cast(SPANS)
+            results = [F.struct(F.lit(r.version).alias("version"), F.when(F.array_contains("todo", r.version), found(F.col("body"), r)).otherwise(none).alias("spans")) for r in rules]
+            entries = bodies.select("blob", F.col("todo").alias("versions"), F.filter(F.array(*results), lambda x: F.size(x["spans"]) > 0).alias("found"))
+            entries.write.mode("append").option("compression", "zstd").parquet(self.path)
+        finally:
+            scratch.clear()
+
+    def findings(self, rules: Sequence[Rule] = RULES) -> DataFrame:
+        """``blob, spans``: array of (start, ord, end, kind), code points, sorted by start and rule order, of blobs with any."""
+        entries = self.entries().filter(F.size("found") > 0).select("blob", F.explode("found").alias("x"))
+        number = F.array_position(F.lit([r.version for r in rules]), F.col("x.version")).cast("int") - 1
+        kind = F.element_at(F.lit([r.kind for r in rules]), F.col("i") + 1)
+        rows = entries.withColumn("i", number).filter("i >= 0")
+        tagged = F.transform("x.spans", lambda s: F.struct(s["start"].alias("start"), F.col("i").alias("ord"), s["end"].alias("end"), kind.alias("kind")))
+        return rows.groupBy("blob").agg(F.array_distinct(F.array_sort(F.flatten(F.collect_list(tagged)))).alias("spans"))
+
+
+def join_back(versions: DataFrame, text: str, findings: DataFrame, scratch: Scratch) -> DataFrame:
     """Every row of ``versions`` with ``blob`` and ``spans`` of its text; columns of those names are replaced.
 
-    Only blobs with findings are joined. The versions' side is the larger one
-    and may hold one blob in a third of its rows: AQE splits such a partition.
+    Findings are written first and sent to all executors as long as they are
+    under ``MAX_BROADCAST`` bytes, so that no text moves. Beyond that both
+    sides are shuffled by blob; one that a third of the rows hold is split by
+    AQE, as either side comes straight from its shuffle.
     """
     kept = [c for c in versions.columns if c not in ("blob", "spans")]
-    hit = findings.filter(F.size("spans") > 0).select(F.col("blob").alias("_b"), F.col("spans").alias("_s"))
-    out = versions.select(*kept, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
-    out = out.join(hit, F.col("blob") == F.col("_b"), "left")
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-    return out.select(*kept, "blob", F.coalesce("_s", none).alias("spans"))
+    b, s = unused(versions, "b"), unused(versions, "s")
+    hit = scratch.keep(findings.select(F.col("blob").alias(b), F.col("spans").alias(s)))
+    size = hit.agg(F.sum(F.lit(64) + F.size(s) * 48)).first()[0] or 0
+    out = versions.select(*kept, address(F.col(text)).alias("blob")).join(F.broadcast(hit) if size <= MAX_BROADCAST else hit, F.col("blob") == F.col(b), "left")
+    return out.select(*kept, F.lower(F.hex("blob")).alias("blob"), F.coalesce(s, F.array().cast(ALL_SPANS)).alias("spans"))
+
+
+def scan(versions: DataFrame, text: str = "text", ledger: Ledger | None = None, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, Scratch]:
+    """Rows of ``versions`` with ``blob`` and ``spans``, and the files that they are read from.
+
+    ``ledger`` is brought up to date first; without one, a ledger of this scan
+    alone is made in the shared folder. Null text is the empty blob; repeated
+    rows share their blob's findings; an empty table gives an empty result.
+    """
+    spark, scratch = versions.sparkSession, Scratch()
+    if ledger is None:
+        ledger = Ledger(spark, f"{shared_dir(spark).rstrip('/')}/cloakwork-ledger-{uuid.uuid4().hex}")
+        scratch.written.append((spark, ledger.path))
+    ledger.update(versions, text, rules)
+    return join_back(versions, text, ledger.findings(rules), scratch), scratch
 
 
 def describe(spans: Column) -> Column:
@@ -146,9 +193,7 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def op2_blob_ledger(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    findings, _ = scan(docs, "text")
-    rows = join_back(docs.select("doc_id", "text"), "text", findings)
+    rows, _ = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     count = lambda i: F.size(F.filter("spans", lambda s: s["ord"] == i)).cast("long")
     base = F.filter("spans", lambda s: s["ord"] < len(BASE_RULES))
     return rows.select(
