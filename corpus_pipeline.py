@@ -34,8 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret."""
-    findings, _ = secrets.scan(docs, "text")
-    rows = secrets.join_back(docs, "text", findings)
+    rows, _ = secrets.scan(docs)
     rows = rows.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
     return rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
