@@ -7,21 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import find_all, let, resolve, splice
-from .rules import BUILTIN, Rule
+from ..functions.spans import find_all, let, resolve, splice, unused
+from .rules import BUILTIN, Rule, compiles
 
 MARKER = r"\[([^\[\]:]{1,10}):([0-9a-f]{6})\]"
 CODES = 1 << 24
 ITEM = "array<struct<start:int,ord:int,end:int,category:string>>"
 
-ITEMS = "array<struct<start:int,end:int,category:string,original:string,code:string,origin:string,active:boolean>>"
+ITEMS = "array<struct<start:int,end:int,category:string,original:string,code:string,origin:string,active:boolean,id:string>>"
 
 
 def candidates(text: Column, rules: Sequence[Rule]) -> Column:
-    """All rules' matches in rule order, in one projection, so the text is scanned once a rule and read once."""
+    """All rules' matches in rule order, in one projection, so the text is read once and scanned once a rule that its hint admits.
+
+    Custom rules that do not compile are left out.
+    """
     out = []
-    for i, r in enumerate(r for r in rules if r.enabled):
-        out.append(_tag(find_all(text, r.java, r.check), i, r.category))
+    for i, r in enumerate(r for r in rules if r.enabled and (r.builtin or compiles(r.regex))):
+        out.append(_tag(find_all(text, r.java, r.check, r.hint(text)), i, r.category))
     return F.concat(*out) if out else F.array().cast(ITEM)
 
 
@@ -33,8 +36,7 @@ def code_of(rank: Column, doc: Column, key: str) -> Column:
     """Six hex digits: a keyed permutation of the rank of a value within its document, so codes never depend on values."""
 
     def half(i: Column, x: Column) -> Column:
-        d = F.md5(F.concat_ws(":", F.lit(key), doc.cast("string"), i.cast("string"), x.cast("string")))
-        return F.conv(F.substring(d, 1, 6), 16, 10).cast("long") % 4096
+        return F.pmod(F.xxhash64(F.lit(key), doc, i, x), F.lit(4096))
 
     def step(acc: Column, i: Column) -> Column:
         return F.struct(acc["r"].alias("l"), ((acc["l"] + half(i, acc["r"])) % 4096).alias("r"))
@@ -45,11 +47,12 @@ def code_of(rank: Column, doc: Column, key: str) -> Column:
     return F.when(rank >= CODES, full).otherwise(F.lpad(F.lower(F.hex(value)), 6, "0"))
 
 
-def detect(docs: DataFrame, rules: Sequence[Rule] = BUILTIN, key: str = "change-this-key", doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``items``: array of (start, end, category, original, code, origin, active), by start.
+def detect(docs: DataFrame, rules: Sequence[Rule] = BUILTIN, *, key: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``items``: array of (start, end, category, original, code, origin, active, id), by start.
 
-    Equal (category, original) in a document share a code. Null text has no
-    items. Nothing is shuffled.
+    Equal (category, original) in a document share a code; ``key`` is secret,
+    as it tells the order of the codes. Ids are r1, r2 ... within a document.
+    Null text has no items. Nothing is shuffled.
     """
     body = F.col(text)
 
@@ -60,14 +63,25 @@ def detect(docs: DataFrame, rules: Sequence[Rule] = BUILTIN, key: str = "change-
     value = lambda x: F.concat_ws(":", x["category"], x["original"])
 
     def coded(found: Column) -> Column:
-        def item(x: Column, values: Column) -> Column:
-            code = code_of(F.array_position(values, value(x)) - 1, F.col(doc), key)
-            return F.struct(*[x[c].alias(c) for c in ("start", "end", "category", "original")], code.alias("code"), F.lit("auto").alias("origin"), F.lit(True).alias("active"))
+        def items(values: Column, codes: Column) -> Column:
+            def item(x: Column, i: Column) -> Column:
+                code = F.element_at(codes, F.array_position(values, value(x)).cast("int"))
+                rest = (code.alias("code"), F.lit("auto").alias("origin"), F.lit(True).alias("active"), item_id(i + 1).alias("id"))
+                return F.struct(*[x[c].alias(c) for c in ("start", "end", "category", "original")], *rest)
+
+            return F.transform(found, item)
 
-        return let(F.array_distinct(F.transform(found, value)), lambda values: F.transform(found, lambda x: item(x, values)))
+        codes = lambda values: F.transform(values, lambda _, i: code_of(i.cast("long"), F.col(doc), key))
+        return let(F.array_distinct(F.transform(found, value)), lambda values: let(codes(values), lambda c: items(values, c)))
 
     chosen = resolve(candidates(body, rules), ("start", "ord", "end", "category"))
-    return docs.withColumn("items", F.coalesce(let(F.transform(chosen, named), coded), F.array().cast(ITEMS)))
+    none = F.array().cast(ITEMS)
+    found = let(chosen, lambda c: F.when(F.size(c) > 0, let(F.transform(c, named), coded)).otherwise(none))
+    return docs.withColumn("items", F.coalesce(found.cast(ITEMS), none))
+
+
+def item_id(n: Column) -> Column:
+    return F.concat(F.lit("r"), n.cast("string"))
 
 
 def redact(items_df: DataFrame, text: str = "text") -> DataFrame:
@@ -85,7 +99,7 @@ def mapping_rows(redacted: DataFrame, doc: str = "doc_id") -> DataFrame:
 def markers(text: Column) -> Column:
     """array of (category, code, start, end) of all markers."""
     part = lambda s, i: F.regexp_extract(F.substring(text, s["start"] + 1, s["end"] - s["start"]), MARKER, i)
-    return F.transform(find_all(text, MARKER), lambda s: F.struct(part(s, 1).alias("category"), part(s, 2).alias("code"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.transform(find_all(text, MARKER, None, text.contains("[")), lambda s: F.struct(part(s, 1).alias("category"), part(s, 2).alias("code"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 def restore(docs: DataFrame, mapping: DataFrame, doc: str = "doc_id", text: str = "redacted") -> DataFrame:
@@ -93,14 +107,18 @@ def restore(docs: DataFrame, mapping: DataFrame, doc: str = "doc_id", text: str
 
     The mapping is gathered by document and joined once; the category of a
     marker is not compared, and originals that look like markers stay as they
-    are. If a code repeats, the first original in order counts.
+    are. If a code repeats, the first row counts, by ``position`` or ``line``
+    where the mapping has it, else the smallest original, as rows of a table
+    have no order. Null text stays null; input columns of the added names are
+    replaced.
     """
-    order = "position" if "position" in mapping.columns else "original"
-    first = mapping.groupBy(F.col(doc).alias("_d"), "code").agg(F.min_by("original", order).alias("original"))
-    book = first.groupBy("_d").agg(F.map_from_entries(F.collect_list(F.struct("code", "original"))).alias("_book"))
-    out = docs.join(book, F.col(doc) == F.col("_d"), "left").withColumn("_m", markers(F.col(text)))
-    known = F.filter("_m", lambda m: F.col("_book")[m["code"]].isNotNull())
-    edits = F.transform(known, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.col("_book")[m["code"]].alias("replacement")))
-    lost = F.array_distinct(F.transform(F.filter("_m", lambda m: F.col("_book")[m["code"]].isNull()), lambda m: m["code"]))
-    out = out.withColumn("restored", splice(F.col(text), edits)).withColumn("restored_count", F.size(known)).withColumn("missing", lost)
-    return out.drop("_d", "_book", "_m")
+    kept = [c for c in docs.columns if c not in ("restored", "restored_count", "missing")]
+    order = next((c for c in ("position", "line") if c in mapping.columns), "original")
+    d, own, b, m = (unused(docs, x) for x in ("d", "own", "book", "m"))
+    first = mapping.groupBy(F.col(doc).alias(d), "code").agg(F.min_by("original", F.struct(F.col(order), F.col("original"))).alias("original"))
+    book = first.groupBy(d).agg(F.map_from_entries(F.collect_list(F.struct("code", "original"))).alias(b))
+    out = docs.select(*kept, F.col(doc).alias(own)).join(book, F.col(own) == F.col(d), "left").withColumn(m, markers(F.col(text)))
+    known = F.filter(m, lambda x: F.col(b)[x["code"]].isNotNull())
+    edits = F.transform(known, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.col(b)[x["code"]].alias("replacement")))
+    lost = F.array_distinct(F.transform(F.filter(m, lambda x: F.col(b)[x["code"]].isNull()), lambda x: x["code"]))
+    return out.select(*kept, splice(F.col(text), edits).alias("restored"), F.size(known).alias("restored_count"), lost.alias("missing"))

@@ -23,14 +23,14 @@ CASES = [
 
 def test_cases(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "doc_id int, text string")
-    got = {r.doc_id: [x.original for x in r["items"]] for r in detect(df).collect()}
+    got = {r.doc_id: [x.original for x in r["items"]] for r in detect(df, key="k").collect()}
     assert got == {i: e for i, (_, e) in enumerate(CASES)}
 
 
 def test_round_trip(spark):
     text = "王小明 0912-345-678，王小明 A123456789 [姓名:zzzzzz] 😀 a@b.co"
     df = spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "doc_id int, text string")
-    r = redact(detect(df))
+    r = redact(detect(df, key="k"))
     back = {x.doc_id: x for x in restore(r, mapping_rows(r)).collect()}
     assert back[1].restored == text and back[2].restored == "nothing" and back[3].restored is None
     assert back[1].redacted.count("[姓名:") == 3 and len(back[1].mapping) == 4
