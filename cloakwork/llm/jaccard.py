@@ -41,7 +41,7 @@ SLICE = 1_000_000
 #: Bits of a signature within its bucket.
 LOW_BITS = 38
 #: Characters that are handled at once.
-CHUNK = 3_000_000
+CHUNK = 2_000_000
 REMEMBER = 500_000
 _U = np.uint64
 _C = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import materialize
+from .storage import Scratch, materialize
 
 #: Bound of the sample that the rotation is learnt from; every vector is indexed.
 MAX_SAMPLE = 8192
@@ -44,38 +44,52 @@ def random_rotation(size: int, bits: int = BITS, seed: int = 7) -> tuple[np.ndar
     return np.zeros(size), q
 
 
-def codes_of(vector: Column, learnt: dict[int, tuple[np.ndarray, np.ndarray]]):
-    """Codes under the rotation of each vector's length, a random one where none is learnt."""
+def tables_for(rows: int, least: float = 0.93, recall: float = 0.99) -> tuple[int, int]:
+    """(tables, bits of each): a table is wide enough to hold about one other vector of ``rows`` in a bucket.
 
-    @F.pandas_udf("long")
+    A bit of two vectors with cosine ``least`` differs with a chance of
+    angle / pi under a random rotation, less under a learnt one, so wider
+    tables find fewer of them and more tables are needed.
+    """
+    width = max(8, min(31, math.ceil(math.log2(max(2, rows))) + 1))
+    same = (1 - math.acos(least) / math.pi) ** width
+    return math.ceil(math.log(1 - recall) / math.log(1 - same)), width
+
+
+def planes(sample: np.ndarray | None, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection) to codes of ``bits`` bits, from as many rotations as it takes, learnt if there is a sample."""
+    parts, seed = [], 7
+    while sum(p.shape[1] for _, p in parts) < bits:
+        parts.append(random_rotation(size, seed=seed) if sample is None else learn_rotation(sample, seed=seed))
+        seed += 1
+    return parts[0][0], np.hstack([p for _, p in parts])[:, :bits]
+
+
+def codes_of(vector: Column, learnt: dict[int, tuple[np.ndarray, np.ndarray]], tables: int, width: int):
+    """array<int>: the part of each table of the vector's code, under the rotations of its length, random ones where none are learnt."""
+
+    @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = dict(learnt)
+        powers = np.left_shift(np.int64(1), np.arange(width, dtype=np.int64))
         for s in batches:
             sizes = s.map(len).to_numpy()
-            codes = np.zeros(len(s), dtype=np.uint64)
+            codes = np.zeros((len(s), tables), dtype=np.int32)
             for size in np.unique(sizes).tolist():
                 if size not in known:
-                    known[size] = random_rotation(size)
+                    known[size] = planes(None, size, tables * width)
                 mean, projection = known[size]
-                powers = np.left_shift(np.uint64(1), np.arange(projection.shape[1], dtype=np.uint64))
                 x = np.array(s[sizes == size].tolist(), dtype="float64").reshape(-1, size)
-                on = (x - mean) @ projection >= 0
-                codes[sizes == size] = (on * powers).sum(axis=1, dtype=np.uint64)
-            yield pd.Series(codes.view(np.int64))
+                on = ((x - mean) @ projection >= 0).reshape(len(x), tables, width)
+                codes[sizes == size] = (on * powers).sum(axis=2)
+            yield pd.Series(list(codes))
 
     return run(vector)
 
 
-def tables_for(rows: int, bits: int) -> list[tuple[int, int]]:
-    """(shift, width) of the substrings: about log2 of the rows wide, so that a look-up finds few others at any size."""
-    n = max(3, min(8, bits // max(1, min(16, round(math.log2(max(2, rows)))))))
-    cuts = [bits * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
 def near_duplicates(
     rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
-    least: float = 0.93, farthest: int = 22, max_sample: int = MAX_SAMPLE,
+    least: float = 0.93, max_sample: int = MAX_SAMPLE,
 ) -> DataFrame:
     """``key, n_links, component_id, kept`` for every row.
 
@@ -83,14 +97,24 @@ def near_duplicates(
     length and their cosine, in double precision, is at least ``least``. Vectors that are null, empty,
     zero, or hold null or non-finite components link with nothing. Equal
     vectors of a label are one class, whose size counts in n_links; only
-    classes are compared. Pairs are looked for among codes that agree within
-    one bit in one substring and differ in at most ``farthest`` bits overall,
-    then tested exactly, so no link below ``least`` is reported; recall is
-    measured in the tests. A repeated key counts as several vectors of one
+    classes are compared. Codes are cut into the parts of ``tables_for``;
+    pairs that agree in a part, and differ in no more bits overall than six
+    standard deviations above the mean at ``least``, are tested exactly, each
+    in the first part in which they agree. So no link below ``least`` is
+    reported; recall is measured in the tests. A repeated key counts as several vectors of one
     node. Each length has a rotation of its own, a random one if the table is
     larger than the sample and fewer than ``BITS`` of that length are in it;
     an empty table gives an empty result.
     """
+    scratch = Scratch()
+    try:
+        return _near_duplicates(rows, key, vector, label, least, max_sample, scratch)
+    finally:
+        scratch.clear()
+
+
+def _near_duplicates(rows: DataFrame, key: str, vector: str, label: str, least: float, max_sample: int, scratch: Scratch) -> DataFrame:
+    keep = scratch.keep
     base = rows.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(vector).cast("array<double>").alias("v"))
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
@@ -99,12 +123,14 @@ def near_duplicates(
     usable = base.filter(F.col("ok") & (F.col("norm") > 0) & (F.col("norm") < float("inf")))
     # -0.0 and 0.0 are the same component
     usable = usable.withColumn("v", F.transform("v", lambda x: x + 0.0)).withColumn("h", F.xxhash64("l", "v"))
-    classes = materialize(usable.groupBy("l", "v").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("norm").alias("norm"), F.first("h").alias("h")))
+    classes = keep(usable.groupBy("l", "v").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("norm").alias("norm"), F.first("h").alias("h")))
     classes = classes.withColumn("d", F.size("v"))
     per_label = classes.groupBy("l", "d").count().agg(F.max("count")).first()[0] or 0
     pick = classes.orderBy(F.xxhash64("rep"), "rep").limit(max_sample).select("v").collect()
     if not pick:
         return base.select(F.col("k").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"), F.lit(True).alias("kept"))
+    tables, width = tables_for(per_label, least)
+    bits = tables * width
     sample: dict[int, list] = {}
     for r in pick:
         sample.setdefault(len(r["v"]), []).append(r["v"])
@@ -112,55 +138,31 @@ def near_duplicates(
     for size, vs in sample.items():
         if len(vs) >= BITS or len(pick) < max_sample:
             x = np.array(vs)
-            learnt[size] = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True))
+            learnt[size] = planes(x / np.linalg.norm(x, axis=1, keepdims=True), size, bits)
     unit = F.transform("v", lambda x: x / F.col("norm"))
-    coded = materialize(classes.withColumn("code", codes_of(unit, learnt)))
-    # lengths whose codes have the same number of bits share their tables
-    lengths: dict[int, list[int]] = {}
-    for size, (_, projection) in learnt.items():
-        lengths.setdefault(projection.shape[1], []).append(size)
-    rest = ~F.col("d").isin(list(learnt))
-    few = [r[0] for r in classes.filter(rest).select(F.least("d", F.lit(BITS))).distinct().collect()]  # BITS numbers at most
-
-    def by_bits(entries) -> Column:
-        """Of the tables for each number of bits, those that the vector's length has."""
-        own = {b: F.col("d").isin(sizes) for b, sizes in lengths.items()}
-        for b in few:
-            of = rest & (F.least("d", F.lit(BITS)) == b)
-            own[b] = own[b] | of if b in own else of
-        out = F
-        for b, condition in own.items():
-            out = out.when(condition, F.array(*entries(tables_for(per_label, b))))
-        return F.explode(out).alias("e")
-
-    part = lambda shift, width: F.shiftrightunsigned("code", shift).bitwiseAND(F.lit((1 << width) - 1))
-    index = by_bits(lambda tables: [F.struct(F.lit(t).alias("t"), part(*sw).alias("p")) for t, sw in enumerate(tables)])
-    probe = by_bits(
-        lambda tables: [
-            F.struct(F.lit(t).alias("t"), (part(s, w).bitwiseXOR(F.lit(flip))).alias("p"))
-            for t, (s, w) in enumerate(tables)
-            for flip in (0, *(1 << i for i in range(w)))
-        ]
-    )
-    side = lambda e, r, c, h: coded.select("l", "d", F.col("rep").alias(r), F.col("code").alias(c), e, F.col("h").alias(h)).select("l", "d", "e.t", "e.p", r, c, h)
-    found = side(probe, "a", "ca", "ha").join(side(index, "b", "cb", "hb"), ["l", "d", "t", "p"])
-    found = found.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= farthest))
-    pairs = found.select("l", "d", "a", "b").distinct()
+    coded = keep(classes.withColumn("code", codes_of(unit, learnt, tables, width)))
+    chance = math.acos(least) / math.pi
+    farthest = math.ceil(bits * chance + 6 * math.sqrt(bits * chance * (1 - chance)))
+    side = lambda r, c: coded.select("l", "d", F.col("rep").alias(r), F.col("code").alias(c), F.posexplode("code").alias("t", "p"))
+    both = side("a", "ca").join(side("b", "cb"), ["l", "d", "t", "p"])
+    earlier = F.exists(F.slice(F.zip_with("ca", "cb", lambda x, y: x == y), F.lit(1), F.col("t")), lambda x: x)
+    differ = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = both.filter((F.col("a") < F.col("b")) & ~earlier & (differ <= farthest)).select("l", "d", "a", "b")
     own = coded.select("l", "d", "rep", "v", "norm", "n")
     full = pairs.join(own.select("l", "d", F.col("rep").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"), F.col("n").alias("size_a")), ["l", "d", "a"])
     full = full.join(own.select("l", "d", F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"), F.col("n").alias("size_b")), ["l", "d", "b"])
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    links = materialize(full.filter(dot / (F.col("na") * F.col("nb")) >= least).select("a", "b", "size_a", "size_b"))
+    links = keep(full.filter(dot / (F.col("na") * F.col("nb")) >= least).select("a", "b", "size_a", "size_b"))
     ends = links.select(F.col("a").alias("rep"), F.col("size_b").alias("n")).unionByName(links.select(F.col("b").alias("rep"), F.col("size_a").alias("n")))
     other = ends.groupBy("rep").agg(F.sum("n").alias("others"))
-    comp = components(links).withColumnRenamed("node", "rep")
-    facts = materialize(coded.select("l", "v", "rep", "n").join(other, "rep", "left").join(comp, "rep", "left").select("l", "v", "rep", "n", "others", "component"))
+    comp = components(links, scratch=scratch).withColumnRenamed("node", "rep")
+    facts = keep(coded.select("l", "v", "rep", "n").join(other, "rep", "left").join(comp, "rep", "left").select("l", "v", "rep", "n", "others", "component"))
     joined = usable.select("k", "l", "v").join(facts, ["l", "v"]).select("k", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("c"))
     linkable = F.col("ok") & (F.col("norm") > 0) & (F.col("norm") < float("inf"))
     alone = base.filter(~F.coalesce(linkable, F.lit(False)))
     alone = alone.select("k", F.lit(0).cast("long").alias("links"), F.col("k").alias("c"))
     out = joined.unionByName(alone)
-    return out.select(F.col("k").alias(key), F.col("links").cast("long").alias("n_links"), F.col("c").alias("component_id"), F.coalesce(F.col("k") == F.col("c"), F.lit(True)).alias("kept"))
+    return materialize(out.select(F.col("k").alias(key), F.col("links").cast("long").alias("n_links"), F.col("c").alias("component_id"), F.coalesce(F.col("k") == F.col("c"), F.lit(True)).alias("kept")))
 
 
 def op6_itq_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -313,10 +313,11 @@ def test_vectors_recall_and_precision(spark):
     assert (found <= link.sum(1)).all() and found.sum() >= 0.9 * link.sum() > 100 and all(got[i].n_links == 0 for i in range(5000, 5004))
 
 
-def test_vectors_recall_with_the_tables_of_large_inputs(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [10**3, 10**5, 10**6])
+def test_vectors_recall_with_the_tables_of_large_inputs(spark, monkeypatch, rows):
     tables = vectors.tables_for
-    monkeypatch.setattr(vectors, "tables_for", lambda rows, bits: tables(10**6, bits))
-    assert len(vectors.tables_for(1, 64)) == 4
+    monkeypatch.setattr(vectors, "tables_for", lambda _, least: tables(rows, least))
+    assert tables(rows)[1] > np.log2(rows) and tables(rows)[0] < 80
     r = np.random.default_rng(4)
     base = r.normal(size=(1500, 64))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
@@ -326,8 +327,8 @@ def test_vectors_recall_with_the_tables_of_large_inputs(spark, monkeypatch):
     x = np.vstack([base, 0.932 * base + (1 - 0.932**2) ** 0.5 * side])
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     found = vectors.near_duplicates(df).filter("n_links > 0").count()
-    print("recall", found / len(x))
-    assert 0.9 * len(x) <= found
+    print("recall", rows, found / len(x))
+    assert 0.95 * len(x) <= found
 
 
 @pytest.mark.parametrize("max_sample", [vectors.MAX_SAMPLE, 30])
