@@ -47,12 +47,13 @@ def code_of(rank: Column, doc: Column, key: str) -> Column:
     return F.when(rank >= CODES, full).otherwise(F.lpad(F.lower(F.hex(value)), 6, "0"))
 
 
-def detect(docs: DataFrame, rules: Sequence[Rule] = BUILTIN, *, key: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def detect(docs: DataFrame, rules: Sequence[Rule] = BUILTIN, *, key: str, doc: str = "doc_id", text: str = "text", more: tuple[Column, str] | None = None) -> DataFrame:
     """``docs`` with ``items``: array of (start, end, category, original, code, origin, active, id), by start.
 
     Equal (category, original) in a document share a code; ``key`` is secret,
     as it tells the order of the codes. Ids are r1, r2 ... within a document.
-    Null text has no items. Nothing is shuffled.
+    Null text has no items. ``more`` (spans, category) adds spans that are no
+    items yet, whatever they overlap. Nothing is shuffled.
     """
     body = F.col(text)
 
@@ -75,6 +76,10 @@ def detect(docs: DataFrame, rules: Sequence[Rule] = BUILTIN, *, key: str, doc: s
         return let(F.array_distinct(F.transform(found, value)), lambda values: let(codes(values), lambda c: items(values, c)))
 
     chosen = resolve(candidates(body, rules), ("start", "ord", "end", "category"))
+    if more is not None:
+        added = _tag(more[0], len(rules), more[1])
+        fresh = lambda known: F.filter(added, lambda x: ~F.exists(known, lambda c: (c["start"] == x["start"]) & (c["end"] == x["end"])))
+        chosen = let(chosen, lambda known: F.array_sort(F.concat(known, fresh(known))))
     none = F.array().cast(ITEMS)
     found = let(chosen, lambda c: F.when(F.size(c) > 0, let(F.transform(c, named), coded)).otherwise(none))
     return docs.withColumn("items", F.coalesce(found.cast(ITEMS), none))
@@ -84,10 +89,20 @@ def item_id(n: Column) -> Column:
     return F.concat(F.lit("r"), n.cast("string"))
 
 
+def edits_of(items: Column) -> Column:
+    """array of (start, end, replacement): the marker of each active item in its place."""
+    active = F.filter(items, lambda x: x["active"])
+    return F.transform(active, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), marker(x["category"], x["code"]).alias("replacement")))
+
+
+def marker(category: Column, code: Column) -> Column:
+    return F.concat(F.lit("["), category, F.lit(":"), code, F.lit("]"))
+
+
 def redact(items_df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``redacted`` and ``mapping`` (array of code, category, original; active values by first occurrence)."""
     active = F.filter("items", lambda x: x["active"])
-    edits = F.transform(active, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), x["category"], F.lit(":"), x["code"], F.lit("]")).alias("replacement")))
+    edits = edits_of(F.col("items"))
     mapping = F.array_distinct(F.transform(active, lambda x: F.struct(x["code"].alias("code"), x["category"].alias("category"), x["original"].alias("original"))))
     return items_df.withColumn("redacted", splice(F.col(text), edits)).withColumn("mapping", mapping)
 

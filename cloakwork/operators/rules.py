@@ -8,6 +8,8 @@ import secrets
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,27 +192,26 @@ class Rule:
 BUILTIN = tuple(Rule(i, CATEGORIES[i], r, i, builtin=True) for i, r in REGEXES.items())
 
 
-def compiles(source: str) -> bool:
-    from py4j.protocol import Py4JError
+def _compiled(source: str):
+    return SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(to_java(source))
+
 
+def compiles(source: str) -> bool:
     try:
-        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(to_java(source))
-    except Py4JError:
+        _compiled(source)
+    except (Py4JError, PySparkException):
         return False
     return True
 
 
 def regex_error(source: str) -> str | None:
     """Why a custom pattern is refused, or None. It must compile and not match the empty text."""
-    from py4j.protocol import Py4JError
-
     if not source.strip():
         return "規則不可為空"
-    jvm = SparkSession.active().sparkContext._jvm
     try:
-        pattern = jvm.java.util.regex.Pattern.compile(to_java(source))
-    except Py4JError as e:
-        return f"無效的規則：{str(getattr(e, 'java_exception', e)).splitlines()[0]}"
+        pattern = _compiled(source)
+    except (Py4JError, PySparkException) as e:
+        return f"無效的規則：{str(e).splitlines()[0]}"
     return "規則不可比對空字串" if pattern.matcher("").find() else None
 
 
