@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import unused
+
 LANES = 16
 LANE = (1 << 32) - 1
 #: Three counters of 20 bits share a long; the bit above each stays clear, so sums cannot run over.
@@ -112,7 +114,8 @@ def with_next(docs: DataFrame, key: str, text: str, carry: list[str], rows_per_b
     last. Rows are dealt by ranges of the key (``most_buckets`` quantiles at
     most, the only thing that reaches the driver); each range also gets the
     first row of the next one, so one shuffle serves and no task sees the
-    whole table.
+    whole table. Beyond that many ranges each holds more rows, which the
+    window sorts on disk; none is left out. Keys are integers.
     """
     n = docs.select(F.count(F.lit(1))).first()[0]
     parts = min(most_buckets, max(1, n // rows_per_bucket))
@@ -121,19 +124,19 @@ def with_next(docs: DataFrame, key: str, text: str, carry: list[str], rows_per_b
         probabilities = [i / parts for i in range(1, parts)]
         got = docs.select(F.percentile_approx(F.col(key).cast("long"), F.lit(probabilities), F.lit(4 * parts)).alias("q")).first()[0]
         splits = sorted(set(got or []))
-    own = docs.withColumn("_b", _bucket(F.col(key), splits)).withColumn("_seen", F.lit(0))
-    first = own.groupBy("_b").agg(F.max(key).alias("k")).collect()  # a row per bucket
+    bucket, seen, last = (unused(docs, c) for c in ("b", "seen", "k"))
+    own = docs.withColumn(bucket, _bucket(F.col(key), splits)).withColumn(seen, F.lit(0))
+    first = own.groupBy(bucket).agg(F.max(key).alias(last)).collect()  # a row per bucket
     if not first:
-        return own.withColumn("_next", F.struct(F.col(text), *carry)).drop("_b", "_seen")
-    first = sorted(first, key=lambda r: -r["_b"])
-    send = [(r["k"], above["_b"], 1) for above, r in zip(first, first[1:], strict=False)] + [(first[0]["k"], first[-1]["_b"], 2)]
-    guests = docs.sparkSession.createDataFrame(send, "_k long, _to int, _seen int")  # most_buckets rows at most
-    copies = docs.join(F.broadcast(guests), F.col(key).cast("long").eqNullSafe(F.col("_k")))
-    copies = copies.select(*docs.columns, F.col("_to").alias("_b"), "_seen")
-    order = [F.when(F.col("_seen") == 2, 1).otherwise(0), F.col(key).desc_nulls_last(), F.col(text).asc_nulls_first()]
-    w = Window.partitionBy("_b").orderBy(*order)
-    out = own.unionByName(copies).withColumn("_next", F.lead(F.struct(F.col(text), *carry)).over(w))
-    return out.filter(F.col("_seen") == 0).drop("_b", "_seen")
+        return own.withColumn("_next", F.struct(F.col(text), *carry)).drop(bucket, seen)
+    first = sorted(first, key=lambda r: -r[bucket])
+    send = [(r[last], above[bucket], 1) for above, r in zip(first, first[1:], strict=False)] + [(first[0][last], first[-1][bucket], 2)]
+    guests = docs.sparkSession.createDataFrame(send, f"{last} long, {bucket} int, {seen} int")  # most_buckets rows at most
+    copies = docs.join(F.broadcast(guests), F.col(key).cast("long").eqNullSafe(F.col(last)))
+    order = [F.when(F.col(seen) == 2, 1).otherwise(0), F.col(key).desc_nulls_last(), F.col(text).asc_nulls_first()]
+    w = Window.partitionBy(bucket).orderBy(*order)
+    out = own.unionByName(copies.drop(last)).withColumn("_next", F.lead(F.struct(F.col(text), *carry)).over(w))
+    return out.filter(F.col(seen) == 0).drop(bucket, seen)
 
 
 def compare_with_edit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,7 +144,9 @@ def compare_with_edit(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     The edited text has its last third (rounded down, code points) replaced by
     the first as many, or all, of the next document in descending key order.
-    Null text counts as empty; repeated rows each give a row.
+    Null text counts as empty; repeated rows each give a row, in the order of
+    their texts; null keys come last. Extra columns are not read; an empty
+    table gives an empty result; very long texts are read whole.
     """
     body = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     body = body.withColumn("fp", fingerprint(F.col("text")))

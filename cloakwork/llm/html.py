@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import unused
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp".split())
 DROP = frozenset(
@@ -300,7 +302,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (code points) added; columns of those names are replaced.
 
     Null and empty pages have empty text. Pages are independent, so repeated
-    rows give repeated results. The whole page is read, however long.
+    rows give repeated results, and an empty table stays empty. The whole page
+    is read, however long. Among containers with equal points the first counts.
     """
 
     @F.pandas_udf("text string, n_chars long")
@@ -310,8 +313,9 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             yield pd.DataFrame({"text": texts, "n_chars": [len(t) for t in texts]})
 
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    out = pages.withColumn("_x", run(F.col(html)))
-    return out.select(*kept, F.col("_x.text").alias("text"), F.col("_x.n_chars").alias("n_chars"))
+    got = unused(pages, "x")
+    out = pages.withColumn(got, run(F.col(html)))
+    return out.select(*kept, F.col(got)["text"].alias("text"), F.col(got)["n_chars"].alias("n_chars"))
 
 
 def op9_tree_extraction(spark, sf_dir: str) -> DataFrame:

@@ -312,6 +312,8 @@ def signatures(docs: DataFrame, buckets: int) -> DataFrame:
                     seen.add(mark)
                     keep.append(mark[0])
                     sets.append(s)
+            if not sets:
+                continue
             name = np.array(keep, dtype=np.uint64).view(np.int64)
             out: list[tuple] = []
             both = [signer.sign(sets, lower) for lower in (False, True)]

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from ..functions.spans import unused
+from .storage import Scratch, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The hash has 32 bits; each level of the histogram looks at the next so many of them.
@@ -31,7 +32,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     times all sizes is dealt out by weight; a source stops at ``most`` times
     its size and the excess is reshared. With the sources ordered by
     size/weight, those that stop are a prefix, so the level of the others is
-    found with running sums instead of rounds.
+    found with running sums instead of rounds. The windows see one narrow row a
+    source and no document.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     table = F.array(*[F.lit(float(w)) for w in weights])
@@ -54,14 +56,16 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def thresholds(rows: DataFrame, wanted: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
+def thresholds(rows: DataFrame, wanted: DataFrame, keep=materialize, levels: Sequence[int] = LEVELS) -> DataFrame:
     """Largest hash to take by source: ``source, cut`` (-1: none).
 
     ``rows`` has ``source, size, h``; ``wanted`` has ``source, rest`` with
     ``rest`` below the source's size. Sizes are summed by source and bucket of
     the leading bits; only the bucket in which the running sum passes
     ``rest`` is refined by the next bits. The last level has single hash
-    values: the one at the boundary is taken if that comes nearer.
+    values: the one at the boundary is taken if that comes nearer. A source
+    has 4,096 buckets at most in a level, whatever it holds, so the window
+    over its buckets is bounded.
     """
     shift = sum(levels)
     edge = wanted.select("source", F.col("rest"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
@@ -75,7 +79,7 @@ def thresholds(rows: DataFrame, wanted: DataFrame, levels: Sequence[int] = LEVEL
         step = step.withColumn("upto", F.col("below") + F.sum("sum").over(w))
         step = step.filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("sum") <= F.col("rest")))
         step = step.withColumn("below", F.col("upto") - F.col("sum"))
-        edge = materialize(step.select("source", "rest", "prefix", "below", "sum"))
+        edge = keep(step.select("source", "rest", "prefix", "below", "sum"))
         inside = rows.withColumn("prefix", F.shiftright("h", shift))
     nearer = F.col("below") + F.col("sum") / 2 <= F.col("rest")
     return edge.select("source", F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("cut"))
@@ -90,6 +94,7 @@ def mix(
     key: str = "doc_id",
     source: str = "source",
     text: str = "text",
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """``docs`` with ``size, source_size, target, copies, taken`` added.
 
@@ -99,22 +104,26 @@ def mix(
     0; null is a source of its own, listed last; rows with equal keys (null
     ones too) are taken together; an empty table stays empty. The result does
     not depend on partitioning. A hot source costs nothing extra: sums are
-    combined before the shuffle and the thresholds are joined by AQE.
+    combined before the shuffle and the thresholds are joined by AQE. Columns
+    of the added names are replaced. The result reads small tables of
+    ``scratch``, which may go once it is written.
     """
+    keep = (scratch or Scratch()).keep
     added = ("size", "source_size", "target", "copies", "taken")
     kept = [c for c in docs.columns if c not in added]
-    sized = docs.select(*kept, word_count(F.col(text)).alias("size"), document_hash(F.col(key), seed).alias("_h"))
-    slim = materialize(sized.select(F.col(source).alias("source"), "size", F.col("_h").alias("h")))
+    h, name, full, cut = (unused(docs, c) for c in ("h", "source", "full", "cut"))
+    sized = docs.select(*kept, word_count(F.col(text)).alias("size"), document_hash(F.col(key), seed).alias(h))
+    slim = keep(sized.select(F.col(source).alias("source"), "size", F.col(h).alias("h")))
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sizes, weights, share, most))
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    targets = targets.withColumn("full", full)
+    targets = keep(source_targets(sizes, weights, share, most))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    targets = targets.withColumn("full", whole)
     wanted = targets.select("source", (F.col("target") - F.col("full") * F.col("source_size")).alias("rest")).filter("rest > 0")
-    cuts = thresholds(slim, wanted)
+    cuts = thresholds(slim, wanted, keep)
     plan = targets.alias("t").join(cuts.alias("c"), same(F.col("t.source"), F.col("c.source")), "left")
-    plan = materialize(plan.select(F.col("t.source").alias("_source"), "source_size", "target", "full", F.coalesce("cut", F.lit(-1).cast("long")).alias("cut")))
-    out = sized.join(plan, same(F.col(source), F.col("_source")), "left")
-    copies = F.col("full") + F.when(F.col("_h") <= F.col("cut"), 1).otherwise(0)
+    plan = keep(plan.select(F.col("t.source").alias(name), "source_size", "target", F.col("full").alias(full), F.coalesce("cut", F.lit(-1).cast("long")).alias(cut)))
+    out = sized.join(plan, same(F.col(source), F.col(name)), "left")
+    copies = F.col(full) + F.when(F.col(h) <= F.col(cut), 1).otherwise(0)
     return out.select(*kept, "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import unused
+
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -86,15 +88,14 @@ def number(key: str, m: Column) -> Column:
 
 
 def phone(key: str, m: Column) -> Column:
-    """Area codes of 000 to 199 stay among those and others in 200 to 999; the country code and all punctuation stay."""
+    """Area codes of 000 to 199 stay among those and others in 200 to 999, and so do exchange codes; the country code and all punctuation stay."""
     shape = r"^((?:\+1[ .-]?)?\(?)(\d{3})(\D+)(\d{3})(\D)(\d{4})$"
     part = lambda i: F.regexp_extract(m, shape, i)
-    area = part(2).cast("long")
-    low = area < 200
-    least = F.when(low, 0).otherwise(200)
+    area, line = part(2).cast("long"), F.concat(part(4), part(6)).cast("long")
+    least, first = F.when(area < 200, 0).otherwise(200), F.when(line < 2_000_000, 0).otherwise(2_000_000)
     return feistel(
-        key, "phone", area - least, F.concat(part(4), part(6)).cast("long"), F.when(low, 200).otherwise(800), 10_000_000,
-        lambda l, r: F.concat(part(1), _padded(l + least, 3), part(3), F.substring(_padded(r, 7), 1, 3), part(5), F.substring(_padded(r, 7), 4, 4)),
+        key, "phone", area - least, line - first, F.when(area < 200, 200).otherwise(800), F.when(line < 2_000_000, 2_000_000).otherwise(8_000_000),
+        lambda l, r: F.concat(part(1), _padded(l + least, 3), part(3), F.substring(_padded(r + first, 7), 1, 3), part(5), F.substring(_padded(r + first, 7), 4, 4)),
     )
 
 
@@ -119,8 +120,8 @@ def date(key: str, m: Column) -> Column:
 
 
 def email(key: str, m: Column) -> Column:
-    """The local part becomes keyed letters and digits; the domain stays."""
-    local = F.substring(F.sha2(F.concat(F.lit(f"{key}:email:"), F.lower(m)), 256), 1, 12)
+    """The local part becomes 128 bits of a keyed hash of the address in lower case; the domain stays."""
+    local = F.substring(F.sha2(F.concat(F.lit(f"{key}:email:"), F.lower(m)), 256), 1, 32)
     return F.concat(F.lit("u"), local, F.regexp_extract(m, "@.*$", 0))
 
 
@@ -135,12 +136,17 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten, and ``n_email, n_date, n_ip, n_phone, n_number`` added.
 
     Card-like numbers (with their Luhn digit), phone numbers written the North
-    American way (with any three digits as area code), IPv4 addresses and ISO dates are permuted under ``key`` within their
-    format, so equal values stay equal in all documents and different ones
-    stay different; the local part of an e-mail address becomes keyed hex
-    digits. Null text stays null with counts 0; empty text stays empty; rows
-    are independent, so repeated rows give repeated results. Columns of the
-    added names are replaced.
+    American way (with any three digits as area code), IPv4 addresses and ISO
+    dates are permuted under ``key`` within their format, so equal values stay
+    equal in all documents and different ones stay different. Numbers that
+    fail Luhn's test are permuted too, apart from those that pass it. An
+    e-mail address has no fixed format: its local part becomes 128 bits of a
+    keyed hash, upper and lower case being one, so two addresses meet with a
+    chance of 2^-128. ``key`` is a secret: whoever has it can undo the
+    permutations. Null text stays null with counts 0; empty text stays empty;
+    an empty table stays empty; very long texts are read whole. Rows are
+    independent, so repeated rows give repeated results. Columns of the added
+    names are replaced.
     """
     names = {k: f"n_{k}" for k in KINDS}
     kept = [c for c in docs.columns if c not in names.values()]
@@ -153,13 +159,18 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     body = F.col(text)
     some = body.rlike(ANY)
     none = F.array().cast("array<struct<kind:string,value:string>>")
-    out = docs.withColumn("_new", F.when(some, F.transform(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), new)).otherwise(none))
-    rebuilt = F.array_join(F.zip_with(F.split(body, ANY, -1), F.col("_new"), lambda g, x: F.concat(g, F.coalesce(x["value"], F.lit("")))), "")
-    count = lambda k: F.size(F.filter("_new", lambda x: x["kind"] == k)).cast("long")
+    found = unused(docs, "new")
+    out = docs.withColumn(found, F.when(some, F.transform(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), new)).otherwise(none))
+    rebuilt = F.array_join(F.zip_with(F.split(body, ANY, -1), F.col(found), lambda g, x: F.concat(g, F.coalesce(x["value"], F.lit("")))), "")
+    count = lambda k: F.size(F.filter(found, lambda x: x["kind"] == k)).cast("long")
     counts = [count(k).alias(n) for k, n in names.items()]
-    return out.select(*[F.when(F.size("_new") > 0, rebuilt).otherwise(body).alias(c) if c == text else F.col(c) for c in kept], *counts)
+    return out.select(*[F.when(F.size(found) > 0, rebuilt).otherwise(body).alias(c) if c == text else F.col(c) for c in kept], *counts)
+
+
+#: The query's key where the session names none in ``spark.cloakwork.key``; it keeps no secret.
+QUERY_KEY = "op1"
 
 
-def op1_feistel_pseudonyms(spark, sf_dir: str, key: str = "change-this-key") -> DataFrame:
+def op1_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymize(docs, key)
+    return pseudonymize(docs, spark.conf.get("spark.cloakwork.key", QUERY_KEY))

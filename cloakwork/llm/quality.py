@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import unused
+
 #: Texts are compressed in pieces of so many bytes, so that the dictionary counts in all of a long text.
 PIECE = 1024
 #: Bounds of the sample that is fitted: documents a class, and code points a document.
@@ -92,7 +94,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Fit on at most ``max_docs`` documents a class, the first in the order of a hash of the key.
 
     Rows that are held out, have no label or no text, or are longer than
-    ``max_chars`` are not in the sample, which is all that reaches the driver.
+    ``max_chars`` are not in the sample, which is all that reaches the driver;
+    of several texts of one key the smallest counts.
     Every other document builds the dictionaries, the rest calibrates. If a
     class has no text, every score is 0.5.
     """
@@ -102,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     ids = [rows.filter(F.col("_y") == y).select("_k", "_y", order.alias("_o")).orderBy("_o", "_k").limit(max_docs) for y in (0, 1)]
     sample = ids[0].unionByName(ids[1])  # 2 * max_docs rows at most
     sizes = (F.length(text) > 0) & (F.length(text) <= max_chars)
-    got = docs.filter(sizes).join(F.broadcast(sample), F.col(key) == F.col("_k")).select("_k", "_y", "_o", F.col(text).alias("_t")).dropDuplicates(["_k"]).collect()
+    got = docs.filter(sizes).join(F.broadcast(sample), F.col(key) == F.col("_k")).groupBy("_k", "_y", "_o").agg(F.min(text).alias("_t")).collect()
     got = sorted(got, key=lambda r: (r["_o"], r["_k"]))
     teach, tune = got[::2], got[1::2]
     parts = [dictionary([r["_t"] for r in teach if r["_y"] == y]) for y in (1, 0)]
@@ -119,7 +122,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
     The score uses the whole text alone, so equal texts have equal scores;
     null counts as empty, and an empty text gets the score of a size
-    difference of 0.
+    difference of 0. Very long texts are compressed whole, piece by piece; an
+    empty table stays empty.
     """
 
     @F.pandas_udf("double")
@@ -129,8 +133,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
 
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    out = docs.withColumn("_score", run(F.col(text)))
-    return out.select(*kept, F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    own = unused(docs, "score")
+    out = docs.select(*kept, run(F.col(text)).alias(own))
+    return out.select(*kept, F.col(own).alias("score"), (F.col(own) >= threshold).cast("int").alias("predicted"))
 
 
 def op7_compression_quality(spark, sf_dir: str) -> DataFrame:

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, html, jaccard, mixing, pii, quality, secrets, urls, vectors
-
-
-def _pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+from . import bpe, fingerprints, html, jaccard, mixing, pii, pipeline, quality, secrets, urls, vectors
 
 
 def queries() -> dict:
     return {
-        "pipeline": _pipeline,
+        "pipeline": pipeline.run,
         "op1_feistel_pseudonyms": pii.op1_feistel_pseudonyms,
         "op2_blob_ledger": secrets.op2_blob_ledger,
         "op3_bpe_tree": bpe.op3_bpe_tree,

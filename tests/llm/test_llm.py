@@ -1,10 +1,13 @@
+import datetime
 import hashlib
 import random
 import re
+import struct
 
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cloakwork.llm import bpe, fingerprints, html, jaccard, mixing, pii, quality, secrets, urls, vectors
@@ -243,6 +246,111 @@ def test_fingerprints(spark):
     assert row.x == row.y
 
 
+def feistel(key, kind, left, right, a, b):
+    for i in range(1, pii.ROUNDS + 1):
+        f = lambda x: int(hashlib.sha256(f"{key}:{kind}:{i}:{x}".encode()).hexdigest()[:14], 16)  # noqa: B023, E731
+        left, right = ((left + f(right)) % a, right) if i % 2 else (left, (right + f(left)) % b)
+    return left, right
+
+
+def luhn(body):
+    total = sum(x - 9 if x > 9 else x for x in (int(c) * (2 - i % 2) for i, c in enumerate(reversed(body))))
+    return str(-total % 10)
+
+
+def plain_pseudonym(key, kind, m):
+    def digits(kind, d):
+        h = len(d) // 2
+        x, y = feistel(key, kind, int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h))
+        return f"{x:0{h}}{y:0{len(d) - h}}"
+
+    if kind == "number":
+        d = re.sub(r"\D", "", m)
+        out = (lambda x: x + luhn(x))(digits("luhn", d[:-1])) if luhn(d[:-1]) == d[-1] else digits("digits", d)
+        return out if m.isdigit() else re.sub(r"(\d{4})(?=\d)", rf"\1{m[4]}", out)
+    if kind == "phone":
+        g = re.fullmatch(r"((?:\+1[ .-]?)?\(?)(\d{3})(\D+)(\d{3})(\D)(\d{4})", m)
+        area, line = int(g[2]), int(g[4] + g[6])
+        a, l = (0 if area < 200 else 200), (0 if line < 2_000_000 else 2_000_000)
+        x, y = feistel(key, "phone", area - a, line - l, 800 if a else 200, 8_000_000 if l else 2_000_000)
+        y = f"{y + l:07}"
+        return f"{g[1]}{x + a:03}{g[3]}{y[:3]}{g[5]}{y[3:]}"
+    if kind == "ip":
+        o = list(map(int, m.split(".")))
+        x, y = feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    if kind == "date":
+        a, b = pii.DAY_SIDES
+        x = (datetime.date.fromisoformat(m) - datetime.date(1900, 1, 1)).days
+        while True:
+            l, r = feistel(key, "date", x // b, x % b, a, b)
+            x = l * b + r
+            if x < pii.DAYS:
+                return (datetime.date(1900, 1, 1) + datetime.timedelta(x)).isoformat()
+    return "u" + hashlib.sha256(f"{key}:email:{m.lower()}".encode()).hexdigest()[:32] + m[m.index("@") :]
+
+
+def test_pii_against_a_plain_version(spark):
+    r, values = random.Random(3), []
+    for _ in range(60):
+        d = "".join(r.choice("0123456789") for _ in range(15))
+        values += [("number", d + luhn(d)), ("number", d + r.choice("0123456789")), ("number", "-".join((d + luhn(d))[i : i + 4] for i in (0, 4, 8, 12))), ("number", d[:13])]
+        values += [("phone", r.choice(["+1 ({}) {}-{}", "{}-{}-{}", "({}) {}.{}"]).format(d[:3], d[3:6], d[6:10])), ("ip", ".".join(str(r.randrange(256)) for _ in range(4)))]
+        values += [("date", (datetime.date(1900, 1, 1) + datetime.timedelta(r.randrange(pii.DAYS))).isoformat()), ("email", f"Jo.{d[:5]}@x{d[5:8]}.org")]
+    text = "\n".join(f"<{v}>" for _, v in values)
+    got = pii.pseudonymize(spark.createDataFrame([(text,)], "text string"), "k").first()
+    assert got.text == "\n".join(f"<{plain_pseudonym('k', kind, v)}>" for kind, v in values)
+    assert got.n_number == 240 and got.n_phone == got.n_ip == got.n_date == got.n_email == 60
+
+
+def plain_fingerprint(text):
+    """(exact lanes, 63 counters, blocks) of a text, counted one by one."""
+    h64 = lambda data, seed=42: xxhash.xxh64(data, seed=seed & (2**64 - 1)).intdigest()
+    exact, counts = [0] * 16, [0] * 63
+    for p in text.split("\n"):
+        digest = hashlib.sha512(p.encode()).hexdigest().encode()
+        exact = [(x + h64(struct.pack("<i", i), h64(digest))) % 2**32 for i, x in enumerate(exact)]
+    blocks = re.findall(fingerprints.BLOCK, text)
+    for b in blocks:
+        h = h64(b.encode())
+        counts = [c + (h >> i & 1) for i, c in enumerate(counts)]
+    return exact, counts, len(blocks)
+
+
+def test_fingerprints_against_a_plain_version(spark):
+    r = random.Random(4)
+    docs = {i: "\n".join(" ".join(words(r.randrange(0, 30), i * 50 + k, 60)) + r.choice(["", ".", ", x; y"]) for k in range(r.randrange(0, 8))) for i in range(40)}
+    docs[40], docs[41], docs[42] = docs[3], "\n".join(reversed(docs[5].split("\n"))), "é😀 " * 3000
+    got = {x.doc_id: x for x in fingerprints.compare_with_edit(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+
+    def near(a, b):
+        (xa, ca, na), (xb, cb, nb) = a, b
+        u, v = np.array(ca) * 2.0 - na, np.array(cb) * 2.0 - nb
+        norm = (u @ u * (v @ v)) ** 0.5
+        return 1.0 if xa == xb else max(0.0, min(1.0, u @ v / norm if norm else 0.0))
+
+    order = sorted(docs, reverse=True)
+    for i, k in enumerate(order):
+        t, following = docs[k], docs[order[(i + 1) % len(order)]]
+        edited = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
+        mine, other, after = map(plain_fingerprint, (t, edited, following))
+        lanes = lambda f: "".join(f"{x:08x}" for x in f[0]) + "".join(f"{sum(f[1][j + 21 * n] << 21 * n for n in range(3)):016x}" for j in range(21))
+        x = got[k]
+        assert (x.fingerprint, x.edited_fingerprint, x.n_chars) == (lanes(mine), lanes(other), len(t))
+        assert x.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(x.near_edited - near(mine, other)) < 1e-9 and abs(x.near_next - near(mine, after)) < 1e-9
+    assert got[3].fingerprint == got[40].fingerprint and got[5].fingerprint == got[41].fingerprint
+
+
+def test_fingerprints_over_many_ranges(spark):
+    rows = [(i * 3 % 101, f"text {i}") for i in range(101)] + [(7, "again"), (None, "none"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = fingerprints.with_next(df, "doc_id", "text", ["doc_id"], rows_per_bucket=5).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
+    want = {r: order[(i + 1) % len(order)] for i, r in enumerate(order)}
+    assert {(x.doc_id, x.text): (x._next.doc_id, x._next.text) for x in got} == want and len(got) == len(rows)
+
+
 def test_pii_is_a_permutation_within_formats(spark):
     t = "4111-1111-1111-1111 2021-02-28 2020-02-30 (212) 555-1234 10.1.2.3 4111111111111111 jo@b.co"
     df = spark.createDataFrame([(1, t), (2, t), (3, None), (4, "")], "doc_id int, text string")
@@ -272,14 +380,27 @@ def test_pii_phones_of_any_area_code(spark):
 
 
 def test_urls(spark):
-    u = ["http://a.b.example.com/en/7?x", "https://x.com/en/", "http://free-bets.org/", "http://freebets.org/", "nothing", None, "HTTP://SPAM.org/a#b", "http://q.example.net/de/8"]
+    u = ["http://a.b.example.com/en/7?x", "https://x.com/en/", "http://free-bets.org/", "http://freebets.org/", "nothing", None, "HTTP://SPAM.org/a#b", "http://q.example.net/de/8", "http://adult-x.org/", "http://a.org/free"]
     got = [(x.host, x.path, x.rule, x.verdict) for x in urls.filter_urls(spark.createDataFrame([(i, v, "h") for i, v in enumerate(u)], "page_id int, url string, host string")).orderBy("page_id").collect()]
     assert got == [
         ("a.b.example.com", "/en/7", "example.com/en/7", "allow"), ("x.com", "/en/", "com/en/", "block"), ("free-bets.org", "/", None, "block"), ("freebets.org", "/", None, "allow"),
         ("", "", None, "allow"), ("", "", None, "allow"), ("spam.org", "/a", None, "block"), ("q.example.net", "/de/8", "example.net/de/8", "block"),
+        ("adult-x.org", "/", None, "block"), ("a.org", "/free", None, "allow"),
     ]
 
 
+def test_url_vocabulary_against_single_searches(spark):
+    v = urls.Vocabulary.loads("# terms\nbad\tstrict\nBad word\tstrict\na\tsoft\nab\tsoft\t0.5\nab-a\tsoft\t2\nbad\tsoft\t1\n", 1.5)
+    assert v.strict == ("bad", "bad word") and dict(v.soft) == {"a": 1.0, "ab": 0.5, "ab-a": 2.0}
+    r = random.Random(6)
+    texts = ["".join(r.choice(["a", "b", "-", "bad", "Ab", " word", "é", "1"]) for _ in range(r.randrange(9))) for _ in range(600)]
+    got = [(x.n_strict, x.n_soft, x.weight, x.verdict) for x in urls.filter_urls(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, url string"), vocabulary=v, rules=()).orderBy("i").collect()]
+    for t, (strict, soft, weight, verdict) in zip(texts, got, strict=True):
+        has = lambda term: re.search(rf"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])", t.replace("A", "a").replace("B", "b")) is not None  # noqa: B023, E731
+        found = [w for term, w in v.soft if has(term)]
+        assert (strict, soft, weight) == (sum(map(has, v.strict)), len(found), sum(found)) and verdict == ("block" if strict or weight >= 1.5 else "allow")
+
+
 @pytest.mark.parametrize("page", [None, "", "<p>", "<html><nav>x</nav>", "plain", "<article><p>a<p>b, c</article><div class='comments'><p>no, no, no, no</div>"])
 def test_html_edges(page):
     assert html.main_text(page) == {"plain": "plain"}.get(page, "a\nb, c" if page and "article" in page else "")
@@ -295,6 +416,8 @@ def test_html_class_words_around_the_text():
     titled = f"<div class='entry-header'><div><h1>Title</h1><span>by me</span></div></div>{text}"
     assert html.main_text(f"<article>{titled}</article>{comments}").split("\n") == ["Title", *want]
     assert html.main_text(f"<div class='content'>{titled}</div>{side}").split("\n") == ["Title", *want]
+    for c in ("content has-sidebar", "page no-sidebar", "layout-with-header", "post status-publish", "entry comments-open"):
+        assert html.main_text(f"<html><nav>menu</nav><div class='{c}'><div>{text}</div></div>{side}{comments}</html>").split("\n") == want
     assert html.main_text(f"<div class='content'>{text}</div><div class='comments'>{text.replace('Sentence', 'Remark') * 2}</div>").split("\n") == want
 
 
@@ -352,3 +475,40 @@ def test_quality_on_held_out_labels(spark):
     held = [x for x in got if x.held and x.doc_id < 400]
     assert sum(x.predicted == int(x.doc_id < 300) for x in held) >= 0.95 * len(held) > 0 and all(0 <= x.score <= 1 for x in got)
     assert quality.score(docs.limit(2), quality.fit(docs, labels.limit(0))).first().score == 0.5
+
+
+ALL = {
+    "pii": lambda d: pii.pseudonymize(d, "k"),
+    "secrets": lambda d: secrets.scan(d)[0],
+    "bpe": lambda d: bpe.encode_texts(d, bpe.default_vocabulary()),
+    "mixing": mixing.mix,
+    "jaccard": jaccard.similar_groups,
+    "quality": lambda d: quality.score(d, quality.Model(b"some good words", b"BAD WORDS!!", (0.1, 2.0, 0.5))),
+    "fingerprints": fingerprints.compare_with_edit,
+    "html": lambda d: html.extract(d, "text"),
+    "urls": lambda d: urls.filter_urls(d, "text"),
+    "vectors": lambda d: vectors.near_duplicates(d.withColumn("vec_id", F.col("doc_id")).withColumn("embedding", F.array(F.lit(1.0), F.col("doc_id").cast("double"))).withColumn("label", F.lit(1))),
+}
+#: Names that operators use within.
+CLASHES = "b h s k d m x new hits host path rule score source full cut bpe spans blob copies size target seen _next _h _source _hits _new _score _bpe _x a c l n t p v".split()
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_edges(spark, name):
+    """Nulls, empty and very long texts, repeated rows, an empty table, and columns that clash with names used within."""
+    long = " ".join(words(60_000, 1, 20_000)) + " <p>x, y</p> http://a.org/ " + "z" * 5000
+    rows = [(1, "plain words here", "s"), (1, "plain words here", "s"), (2, None, None), (3, "", "s"), (None, "no key", None), (4, long, "t"), (5, "\x00 \n \u0301\ud7ff", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = ALL[name](df)
+    keys = [c for c in ("doc_id", "vec_id") if c in plain.columns]
+    assert plain.count() == len(rows) and ALL[name](df.limit(0)).collect() == []
+    with_more = df
+    for c in CLASHES:
+        if c != "source":
+            with_more = with_more.withColumn(c, F.lit(f"<{c}>"))
+    more = ALL[name](with_more)
+    added = [c for c in plain.columns if c not in df.columns or c in ("text", *keys)]
+    assert sorted(map(str, plain.select(*added).collect())) == sorted(map(str, more.select(*added).collect()))
+    for c in CLASHES:
+        if c in more.columns and c not in plain.columns:
+            assert {r[0] for r in more.select(c).distinct().collect()} == {f"<{c}>"}
