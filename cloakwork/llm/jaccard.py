@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import Scratch, materialize
+from .storage import Scratch, materialize, sized
 
 WIDTH = 5
 #: The similarity as a fraction.
@@ -434,11 +434,10 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def fetch(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of ``docs`` with one of ``ids`` (column doc_id), written once for several uses.
 
-    The ids are written first, so that Spark knows their size: it broadcasts
-    them below ``spark.sql.autoBroadcastJoinThreshold``, and shuffles the
-    texts only beyond it.
+    The ids are written first and counted: up to 32 MB of them are sent to all
+    executors, and the texts are shuffled only beyond that.
     """
-    return scratch.keep(docs.join(scratch.keep(ids.distinct()), "doc_id", "left_semi"))
+    return scratch.keep(docs.join(sized(scratch.keep(ids.distinct())), "doc_id", "left_semi"))
 
 
 def short_pairs(classes: DataFrame, scratch: Scratch) -> DataFrame | None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, jaccard, mixing, quality, secrets
-from .storage import Scratch
+from .storage import Scratch, materialize, sized
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,12 +28,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; rows without an id stay.
 
-    Only the ids of documents that go are joined; Spark broadcasts them below
-    its threshold, as they come from a written table.
+    Up to 32 MB of the ids that go are sent to all executors; the documents
+    are shuffled only beyond that.
     """
     groups = jaccard.similar_groups(docs)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = materialize(groups.filter("component_id <> doc_id").select("doc_id").distinct())
+    return docs.join(sized(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

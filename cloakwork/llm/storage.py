@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,3 +57,12 @@ class Scratch:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         self.written.clear()
+
+
+#: Bytes of a written table up to which it is sent to all executors.
+MAX_BROADCAST = 32 << 20
+
+
+def sized(df: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """A written table, marked for broadcasting if its rows of ``row_bytes`` are within ``MAX_BROADCAST``; else it is shuffled like any other."""
+    return F.broadcast(df) if df.count() * row_bytes <= MAX_BROADCAST else df
