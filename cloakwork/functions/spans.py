@@ -68,8 +68,7 @@ def find_all(text: Column, regex: str, check: Check | None = None, hint: Column
 
     def spans(matches: Column) -> Column:
         pieces = F.arrays_zip(F.split(text, regex, -1).alias("g"), matches.alias("m"))
-        found = let(pieces, lambda p: F.when(F.size(p) > PART, in_parts(p)).otherwise(fold(p, F.lit(0))))
-        return F.when(F.size(matches) > 0, found).otherwise(none)
+        return F.when(F.size(matches) > 0, let(pieces, in_parts)).otherwise(none)
 
     found = let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), spans)
     return F.when(text.isNotNull() if hint is None else hint, found).otherwise(none)

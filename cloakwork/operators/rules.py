@@ -119,9 +119,28 @@ CATEGORIES = dict(
 Check = Callable[[Column, Column], Column]
 
 
+def first_characters(pattern: str) -> str:
+    """The characters that the alternatives of the group at the start of ``pattern`` begin with."""
+    depth, out, fresh = 0, [], False
+    for c in pattern.removeprefix("(?:"):
+        if depth == 0 and fresh is not None:
+            out += [] if fresh else [c]
+            fresh = True
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            break
+        if c == "|" and depth == 0:
+            fresh = False
+    return "".join(dict.fromkeys(out))
+
+
 def labelled(pattern: str) -> Check:
-    """The text just before the match fits ``pattern``, upper or lower case."""
-    java = "(?iu)" + to_java(pattern)
+    """The text just before the match fits ``pattern``, upper or lower case.
+
+    A label is looked for only where one of its first characters is, which
+    saves trying all of them at every place.
+    """
+    java = f"(?iu)(?=[{first_characters(pattern)}])" + to_java(pattern)
     return lambda match, before: before.rlike(java)
 
 

@@ -9,11 +9,13 @@ from ..functions.checksums import LETTERS, valid_national_id, valid_tax_id
 from ..functions.masks import mask
 from ..functions.spans import find_all, spread
 from ..operators.deidentify import code_of, detect, mapping_rows, redact, restore
-from ..operators.manual import add_manual, redetect
-from ..operators.review import category_counts
-from ..operators.rules import BUILTIN
+from ..operators.manual import add_manual, has_markers, redetect
+from ..operators.output import try_rule
+from ..operators.review import category_counts, switch_category, toggle
+from ..operators.rules import BUILTIN, Rule, RuleStore
 from ..sources.files import mapping_name, with_suffix
 from ..sources.mapping_csv import csv_text, manifest_text
+from . import cases, files
 
 #: The queries compare results with SQL, so their key is no secret.
 KEY = "queries"
@@ -110,8 +112,77 @@ def manifests(spark, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", manifest_text(F.array(entry)).alias("csv"))
 
 
+def _cases(spark, sf_dir: str) -> DataFrame:
+    """Texts with an accepted or a rejected candidate of every rule, and with overlapping ones."""
+    key = F.col("c_custkey")
+    return _table(spark, sf_dir, "customer").select(key.alias("doc_id"), cases.text_of(key).alias("text"))
+
+
+def _case_items(spark, sf_dir: str) -> DataFrame:
+    return detect(_cases(spark, sf_dir), key=KEY).select("doc_id", F.explode("items").alias("x"))
+
+
+def rule_items(spark, sf_dir: str) -> DataFrame:
+    """Items of all 22 rules at once."""
+    return _case_items(spark, sf_dir).select("doc_id", "x.category", "x.original", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+
+
+def rule_masks(spark, sf_dir: str) -> DataFrame:
+    """Masks of all 22 categories."""
+    return _case_items(spark, sf_dir).select("doc_id", F.col("x.category").alias("category"), mask(F.col("x.category"), F.col("x.original")).alias("masked"))
+
+
+def marker_warnings(spark, sf_dir: str) -> DataFrame:
+    return _cases(spark, sf_dir).select("doc_id", "text", has_markers(F.col("text")).alias("warned"))
+
+
+def document_items(spark, sf_dir: str) -> DataFrame:
+    """All 22 rules over the whole documents, which hold addresses of mail only."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return detect(docs, key=KEY).select("doc_id", F.explode("items").alias("x")).select("doc_id", "x.category", "x.original", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+
+
+def _states(items: str):
+    return F.array_join(F.transform(items, lambda x: F.concat(x["id"], F.when(x["active"], "+").otherwise("-"))), "")
+
+
+def review_switches(spark, sf_dir: str) -> DataFrame:
+    """Turn a category off, add an item over one of its items, turn the category on: that one stays off. Then toggle by id."""
+    docs = switch_category(detect(_orders_texts(spark, sf_dir), ORDERS_RULES, key=KEY), "銀行帳號", False)
+    at = F.instr("text", "帳號：") + 2
+    request = F.struct(at.alias("start"), (at + 5).alias("end"), F.lit("姓名").alias("category"))
+    docs = switch_category(add_manual(docs.withColumn("requests", F.array(request)), key=KEY), "銀行帳號", True)
+    docs = docs.withColumn("after_switch", _states("items"))
+    docs = toggle(docs, F.lit("r2")).withColumn("overlapped", F.col("rejected"))
+    docs = toggle(toggle(docs, F.lit("r6")), F.lit("r2"))
+    return docs.select("doc_id", "after_switch", "overlapped", _states("items").alias("after_toggles"), "rejected")
+
+
+def restore_missing(spark, sf_dir: str) -> DataFrame:
+    """Restore without the codes of one category: these markers stay, and are told."""
+    r = redact(detect(_orders_texts(spark, sf_dir), ORDERS_RULES, key=KEY))
+    back = restore(r, mapping_rows(r).filter(F.col("category") != "識別碼"))
+    plain = F.regexp_replace("restored", r"\[識別碼:[0-9a-f]{6}\]", "<gone>")
+    return back.select("doc_id", plain.alias("text"), "restored_count", F.size("missing").alias("n_missing"))
+
+
+def custom_rules(spark, sf_dir: str) -> DataFrame:
+    """A store without the mail rule and with two own rules, one of which does not compile."""
+    store = RuleStore().with_builtin("email", False).with_custom(Rule("c-1", "識別碼", r"u\d+(?=@)", "user"))
+    rules = (*RuleStore.loads(store.dumps()).effective(), Rule("c-2", "公司", "(", "broken"))
+    wanted = {r.id for r in ORDERS_RULES} | {"c-1", "c-2"}
+    found = detect(_orders_texts(spark, sf_dir), tuple(r for r in rules if r.id in wanted), key=KEY)
+    last = F.element_at("items", -1)
+    return found.select("doc_id", F.size("items").alias("n_items"), last["category"].alias("category"), last["original"].alias("original"))
+
+
+def rule_hits(spark, sf_dir: str) -> DataFrame:
+    out = try_rule(_orders_texts(spark, sf_dir), r"\d{4}-\d{2}")
+    return out.select("doc_id", F.array_join("hits", "|").alias("hits"), F.col("error").isNull().alias("fine"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (email_spans, detect_items, redact_masks, round_trip, item_counts, mapping_files, national_ids, tax_ids, document_codes, manual_items, manifests)}
+    return files.queries() | {f.__name__: f for f in (rule_items, rule_masks, marker_warnings, document_items, review_switches, restore_missing, custom_rules, rule_hits, email_spans, detect_items, redact_masks, round_trip, item_counts, mapping_files, national_ids, tax_ids, document_codes, manual_items, manifests)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -126,7 +197,23 @@ def oracle_sql() -> dict[str, str]:
     total = f"{value}//10+({value}%10)*9+" + "+".join(f"{digit('id', i + 2)}*{8 - i}" for i in range(8)) + f"+{digit('id', 10)}"
     products = [f"({digit('id', i + 1)}*{w})" for i, w in enumerate((1, 2, 1, 2, 1, 2, 4, 1))]
     tax = "+".join(f"({p}//10+{p}%10)" for p in products)
-    return {
+    cased = cases.items_sql("customer", "c_custkey")
+    texts = "CASE c_custkey%" + str(len(cases.CASES)) + " " + " ".join(f"WHEN {i} THEN {cases.as_sql(c.template, 'c_custkey')}" for i, c in enumerate(cases.CASES)) + " END"
+    mails = r"""WITH m AS (SELECT doc_id, text, regexp_extract_all(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS m,
+            regexp_split_to_array(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS g FROM documents),
+            k AS (SELECT doc_id, m, g, unnest(range(1,len(m)+1)) AS k FROM m)
+            SELECT doc_id, '電子郵件' AS category, (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))),0))::INT AS start,
+            (list_sum(list_transform(g[1:k], lambda x: length(x))) + list_sum(list_transform(m[1:k], lambda x: length(x))))::INT AS "end", m[k] AS original FROM k"""
+    return files.oracle_sql() | {
+        "rule_items": f'SELECT doc_id, category, original, start, "end" FROM ({cased})',
+        "rule_masks": f"SELECT doc_id, category, masked FROM ({cased})",
+        "marker_warnings": f"SELECT c_custkey AS doc_id, {texts} AS text, c_custkey%{len(cases.CASES)}={len(cases.CASES) - 1} AS warned FROM customer",
+        "document_items": mails,
+        # items in order: amount, the added one, account (both begin at one place, the added one is shorter), code, date, mail
+        "review_switches": "SELECT o_orderkey AS doc_id, 'r1+r6+r2-r3+r4+r5+' AS after_switch, true AS overlapped, 'r1+r6-r2+r3+r4+r5+' AS after_toggles, false AS rejected FROM orders",
+        "restore_missing": f"WITH c AS ({CARRIER}) SELECT doc_id, replace(text, cust, '<gone>') AS text, 4::INT AS restored_count, 1::INT AS n_missing FROM c",
+        "custom_rules": "SELECT o_orderkey AS doc_id, 5::INT AS n_items, '識別碼' AS category, 'u'||o_orderkey AS original FROM orders",
+        "rule_hits": f"WITH c AS ({CARRIER}) SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]{{4}}-[0-9]{{2}}'), '|') AS hits, true AS fine FROM c",
         "email_spans": r"""WITH m AS (SELECT doc_id, text, regexp_extract_all(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS m,
             regexp_split_to_array(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS g FROM documents),
             k AS (SELECT doc_id, m, g, unnest(range(1,len(m)+1)) AS k FROM m)
