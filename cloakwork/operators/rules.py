@@ -14,7 +14,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checksums import valid_national_id, valid_tax_id
-from ..functions.dialect import to_java
+from ..functions.dialect import SPACE_CHARACTERS, to_java
 
 # ---- fixed values: the formats, labels and word lists that define the rules ----
 HAN = "\\u4e00-\\u9fa5"
@@ -59,6 +59,9 @@ AMOUNT_LABEL = (
     r"|amount(?:\s+(?:due|paid|total))?|payment|repayment|refund|revenue|income|expense|cost|budget|price|total|subtotal|tax|balance|principal|interest)"
     r"[\s:：#-]*(?:NT\$|NTD|TWD|USD|EUR|JPY|CNY|RMB|新臺幣|新台幣|人民幣|美元|歐元|日圓|[\$＄¥￥])?[\s]*$"
 )
+#: Last characters, in small letters, of labels of amounts and of the currencies after them; and what may follow.
+AMOUNT_ENDS = "款額項還付收度為是限計價扣入出用本算金費息pedltx$＄¥￥bry幣元圓"
+SEPARATORS = SPACE_CHARACTERS + ":：#-"
 RATE_LABEL = r"(?:還款|退款|返還|償還|補償|扣除|折扣|回饋|申報(?:總)?金額|醫令申報金額|限量\s*額度|級距|比例|利率|rebate|repayment|refund|discount|rate)[^\n]{0,80}$"
 DISTRICT, ROAD = f"(?:[{HAN}]{{1,4}}[鄉鎮市區])?", f"(?:[{HAN}\\d]{{1,8}}(?:路|街|大道))"
 VILLAGE = f"(?:[{HAN}]{{1,4}}[村里])?(?:\\d{{1,3}}鄰)?"
@@ -119,29 +122,26 @@ CATEGORIES = dict(
 Check = Callable[[Column, Column], Column]
 
 
-def first_characters(pattern: str) -> str:
-    """The characters that the alternatives of the group at the start of ``pattern`` begin with."""
-    depth, out, fresh = 0, [], False
-    for c in pattern.removeprefix("(?:"):
-        if depth == 0 and fresh is not None:
-            out += [] if fresh else [c]
-            fresh = True
-        depth += (c == "(") - (c == ")")
-        if depth < 0:
-            break
-        if c == "|" and depth == 0:
-            fresh = False
-    return "".join(dict.fromkeys(out))
+def folded(text: Column) -> Column:
+    """``text`` so that matching against small letters takes no account of case."""
+    return F.translate(F.lower(text), "ſ", "s")
 
 
-def labelled(pattern: str) -> Check:
+def labelled(pattern: str, ends: str | None = None) -> Check:
     """The text just before the match fits ``pattern``, upper or lower case.
 
-    A label is looked for only where one of its first characters is, which
-    saves trying all of them at every place.
+    ``ends`` has the last characters of all that ``pattern`` fits, blanks and
+    ``SEPARATORS`` after it left out; other texts are not searched.
     """
-    java = f"(?iu)(?=[{first_characters(pattern)}])" + to_java(pattern)
-    return lambda match, before: before.rlike(java)
+    java = re.sub(r"(?<!\\)[A-Z]", lambda m: m[0].lower(), to_java(pattern))
+
+    def check(match: Column, before: Column) -> Column:
+        if ends is None:
+            return folded(before).rlike(java)
+        last = F.right(F.rtrim(folded(before), F.lit(SEPARATORS)), F.lit(1))
+        return F.when(last.isin(*ends), folded(before).rlike(java)).otherwise(False)
+
+    return check
 
 
 def plausible_name(match: Column, before: Column) -> Column:
@@ -160,7 +160,7 @@ CHECKS: dict[str, Check] = {
     "tw-tax-id": lambda match, before: valid_tax_id(match),
     "finance-bank-account": labelled(BANK_LABEL),
     "finance-credit-card": labelled(CARD_LABEL),
-    "finance-amount": labelled(AMOUNT_LABEL),
+    "finance-amount": labelled(AMOUNT_LABEL, AMOUNT_ENDS),
     "finance-rate": labelled(RATE_LABEL),
     "pharma-mrn": labelled(MRN_LABEL),
 }

@@ -7,7 +7,8 @@ from cloakwork.functions.spans import find_all
 from cloakwork.operators.deidentify import ITEMS, detect
 from cloakwork.operators.manual import add_manual, redetect
 from cloakwork.operators.review import category_counts, switch_category, toggle
-from cloakwork.operators.rules import BUILTIN, HINTS, Rule, RuleStore, is_marker_category, new_custom_id, regex_error
+from cloakwork.functions.dialect import to_java
+from cloakwork.operators.rules import AMOUNT_ENDS, AMOUNT_LABEL, BUILTIN, HINTS, Rule, labelled, RuleStore, is_marker_category, new_custom_id, regex_error
 from tests.test_rules import CASES
 
 
@@ -95,3 +96,13 @@ def test_store(spark):
             store.with_custom(Rule("c-9", "公司", bad))
     assert regex_error(r"EMP-\d{6}") is None and RuleStore.loads(store.dumps().replace(r"EMP-\\d{6}", "(")).custom == ()
     assert new_custom_id().startswith("c-") and is_marker_category("姓名") and not is_marker_category("a:b")
+
+
+def test_labels_of_amounts(spark):
+    words = "還款 還款金額 退款款項 返還 返還總額 償還 付款 支付 應付 應收金額 限量 額度 限量額度為 上限　額度是 額度上限 CAP cap額度 Cap 上限 款項 總計 小計 單價 折扣 收入 支出 費用 成本 預算 稅金 消費 營業額 本金 利息 餘額".split(" ")
+    words += "amount,Amount Due,amount paid,amount total,payment,RefunD,revenue,income,expense,cost,budget,price,subtotal,tax,balance,principal,intereſt,帳號,日期,CUST,u".split(",")
+    after = ["", " ", "：", ": NT$ ", "NTD", " usd ", "EUR", "#JPY", "-CNY", "RMB\u3000", "新臺幣", "人民幣 ", "美元", "日圓", "＄", "￥ ", "x", "。", "\n"]
+    df = spark.createDataFrame([(f"之 {w}{a}",) for w in words for a in after], "t string")
+    plain = F.col("t").rlike("(?iu)" + to_java(AMOUNT_LABEL))
+    rows = df.select("t", labelled(AMOUNT_LABEL, AMOUNT_ENDS)(F.lit("1"), F.col("t")).alias("got"), labelled(AMOUNT_LABEL)(F.lit("1"), F.col("t")).alias("slow"), plain.alias("want")).collect()
+    assert [r.t for r in rows if not r.got == r.slow == r.want] == [] and 300 < sum(r.want for r in rows) < len(rows)
