@@ -68,7 +68,7 @@ def dictionary(texts: list[str]) -> bytes | None:
     parts: list[bytes] = []
     total = 0
     for own in lines:
-        piece = "\n".join(own[1:] or own).encode("utf-8", "replace")
+        piece = "\n".join(own).encode("utf-8", "replace")
         at = max(0, (len(piece) - share) // 2)
         parts.append(piece[at : at + share])
         total += share
