@@ -127,13 +127,30 @@ def restore(docs: DataFrame, mapping: DataFrame, doc: str = "doc_id", text: str
     have no order. Null text stays null; input columns of the added names are
     replaced.
     """
-    kept = [c for c in docs.columns if c not in ("restored", "restored_count", "missing")]
     order = next((c for c in ("position", "line") if c in mapping.columns), "original")
-    d, own, b, m = (unused(docs, x) for x in ("d", "own", "book", "m"))
+    d, own, b = (unused(docs, x) for x in ("d", "own", "book"))
     first = mapping.groupBy(F.col(doc).alias(d), "code").agg(F.min_by("original", F.struct(F.col(order), F.col("original"))).alias("original"))
     book = first.groupBy(d).agg(F.map_from_entries(F.collect_list(F.struct("code", "original"))).alias(b))
-    out = docs.select(*kept, F.col(doc).alias(own)).join(book, F.col(own) == F.col(d), "left").withColumn(m, markers(F.col(text)))
-    known = F.filter(m, lambda x: F.col(b)[x["code"]].isNotNull())
-    edits = F.transform(known, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.col(b)[x["code"]].alias("replacement")))
-    lost = F.array_distinct(F.transform(F.filter(m, lambda x: F.col(b)[x["code"]].isNull()), lambda x: x["code"]))
+    out = docs.withColumn(own, F.col(doc)).join(book, F.col(own) == F.col(d), "left")
+    return _looked_up(out, F.col(b), text, [c for c in docs.columns if c not in RESTORED])
+
+
+def restore_own(docs: DataFrame, mapping: str = "mapping", text: str = "redacted") -> DataFrame:
+    """``restore`` with each row's own ``mapping`` (array of code, category, original); the first of a code counts. Nothing is shuffled."""
+    first = F.filter(mapping, lambda m, i: ~F.exists(F.slice(mapping, F.lit(1), i), lambda o: o["code"] == m["code"]))
+    b = unused(docs, "book")
+    out = docs.withColumn(b, F.map_from_entries(F.transform(first, lambda m: F.struct(m["code"], m["original"]))))
+    return _looked_up(out, F.col(b), text, [c for c in docs.columns if c not in RESTORED])
+
+
+RESTORED = ("restored", "restored_count", "missing")
+
+
+def _looked_up(docs: DataFrame, book: Column, text: str, kept: list[str]) -> DataFrame:
+    """``text`` with the originals that ``book`` (code to original) has in place of the markers."""
+    m = unused(docs, "m")
+    out = docs.withColumn(m, markers(F.col(text)))
+    known = F.filter(m, lambda x: book[x["code"]].isNotNull())
+    edits = F.transform(known, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), book[x["code"]].alias("replacement")))
+    lost = F.array_distinct(F.transform(F.filter(m, lambda x: book[x["code"]].isNull()), lambda x: x["code"]))
     return out.select(*kept, splice(F.col(text), edits).alias("restored"), F.size(known).alias("restored_count"), lost.alias("missing"))
