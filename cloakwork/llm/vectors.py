@@ -145,7 +145,8 @@ def _near_duplicates(rows: DataFrame, key: str, vector: str, label: str, least:
     farthest = math.ceil(bits * chance + 6 * math.sqrt(bits * chance * (1 - chance)))
     side = lambda r, c: coded.select("l", "d", F.col("rep").alias(r), F.col("code").alias(c), F.posexplode("code").alias("t", "p"))
     both = side("a", "ca").join(side("b", "cb"), ["l", "d", "t", "p"])
-    earlier = F.exists(F.slice(F.zip_with("ca", "cb", lambda x, y: x == y), F.lit(1), F.col("t")), lambda x: x)
+    before = lambda c: F.slice(c, F.lit(1), F.col("t"))
+    earlier = F.exists(F.zip_with(before("ca"), before("cb"), lambda x, y: x == y), lambda x: x)
     differ = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     pairs = both.filter((F.col("a") < F.col("b")) & ~earlier & (differ <= farthest)).select("l", "d", "a", "b")
     own = coded.select("l", "d", "rep", "v", "norm", "n")
