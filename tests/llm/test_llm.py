@@ -442,7 +442,7 @@ def test_vectors_recall_with_the_tables_of_large_inputs(spark, monkeypatch, rows
     monkeypatch.setattr(vectors, "tables_for", lambda _, least: tables(rows, least))
     assert tables(rows)[1] > np.log2(rows) and tables(rows)[0] < 80
     r = np.random.default_rng(4)
-    base = r.normal(size=(1500, 64))
+    base = r.normal(size=(500, 64))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
     side = r.normal(size=base.shape)
     side -= (side * base).sum(axis=1, keepdims=True) * base
