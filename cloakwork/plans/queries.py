@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.checksums import LETTERS, valid_national_id, valid_tax_id
 from ..functions.masks import mask
 from ..functions.spans import find_all, spread
+from ..functions.storage import materialize
 from ..operators.deidentify import code_of, detect, mapping_rows, redact, restore
 from ..operators.manual import add_manual, has_markers, redetect
 from ..operators.output import try_rule
@@ -119,7 +120,7 @@ def _cases(spark, sf_dir: str) -> DataFrame:
 
 
 def _case_items(spark, sf_dir: str) -> DataFrame:
-    return detect(_cases(spark, sf_dir), key=KEY).select("doc_id", F.explode("items").alias("x"))
+    return detect(_cases(spark, sf_dir), key=KEY).select("doc_id", F.explode_outer("items").alias("x")).filter("x IS NOT NULL")
 
 
 def rule_items(spark, sf_dir: str) -> DataFrame:
@@ -137,9 +138,9 @@ def marker_warnings(spark, sf_dir: str) -> DataFrame:
 
 
 def document_items(spark, sf_dir: str) -> DataFrame:
-    """All 22 rules over the whole documents, which hold addresses of mail only."""
+    """All 22 rules over the whole documents; the SQL looks for addresses of mail only."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return detect(docs, key=KEY).select("doc_id", F.explode("items").alias("x")).select("doc_id", "x.category", "x.original", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    return detect(docs, key=KEY).select("doc_id", F.explode_outer("items").alias("x")).filter("x IS NOT NULL").select("doc_id", "x.category", "x.original", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
 
 def _states(items: str):
@@ -161,6 +162,8 @@ def review_switches(spark, sf_dir: str) -> DataFrame:
 def restore_missing(spark, sf_dir: str) -> DataFrame:
     """Restore without the codes of one category: these markers stay, and are told."""
     r = redact(detect(_orders_texts(spark, sf_dir), ORDERS_RULES, key=KEY))
+    # texts and mapping are read apart, and detected once
+    r = materialize(r.select("doc_id", "redacted", "mapping"))
     back = restore(r, mapping_rows(r).filter(F.col("category") != "識別碼"))
     plain = F.regexp_replace("restored", r"\[識別碼:[0-9a-f]{6}\]", "<gone>")
     return back.select("doc_id", plain.alias("text"), "restored_count", F.size("missing").alias("n_missing"))
