@@ -431,6 +431,24 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long").distinct()
 
 
+def connecting_links(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that connect just what the similar ones of ``pairs`` connect.
+
+    Each document is verified with the smallest one it is paired with; this
+    joins most of a group of near copies. Of the other pairs only those
+    between two components are verified, and they are given as links of the
+    components' smallest documents. So a group has about a link a member,
+    however many lists its members share.
+    """
+    first = scratch.keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    labels = components(verify(first, texts), scratch=scratch)
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = scratch.keep(rest.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca <> cb"))
+    between = verify(rest.select("a", "b"), texts).join(rest, ["a", "b"]).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    return labels.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(between)
+
+
 def fetch(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of ``docs`` with one of ``ids`` (column doc_id), written once for several uses.
 
@@ -587,7 +605,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         pairs = pairs.unionByName(twins) if short is None else pairs.unionByName(twins).unionByName(short)
         pairs = scratch.keep(possible(pairs, classes))
         texts = fetch(known, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), scratch)
-        links = scratch.keep(verify(pairs, texts))
+        links = scratch.keep(connecting_links(pairs, texts, scratch))
         labels = components(links, scratch=scratch)
         members = list_members(found.filter("kind = 1").select("a", "b", "weight", "lower"), labels, classes, scratch)
         texts = fetch(known, members.select(F.col("x").alias("doc_id")), scratch)
